@@ -14,12 +14,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 1000
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so functions in it can be unpickled there."""
+    """Send this package to the executors once per application, so functions in it can be unpickled there.
+
+    Arrow batches get at most BATCH_ROWS rows of whole texts, which bounds what a Python worker holds.
+    """
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]
