@@ -6,12 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sequora.llm import mixing, warc
+import public_tokenizers
+
+from sequora.llm import mixing, packing, pii, quality, warc
 from sequora.llm.minhash_dedup import near_duplicates
 from sequora.llm.runtime import table
 from sequora.llm.substring_dedup import remove_repeats
 
 
+def op1_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"), spark)
+
+
+def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), spark))
+
+
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(table(spark, sf_dir, "pages"), spark)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -25,6 +36,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), spark, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), spark)
 
@@ -32,9 +47,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_pii_bootstrap,
+        op5_quality_gam,
         op6_warc_revisits,
         op7_minhash_near_dedup,
         op8_mix_sources,
+        op9_pack_sequences,
         op10_substring_dedup,
     )
 }
