@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from sequora.llm import mixing, packing, pii, quality, warc
+from sequora.llm import embedding_dedup, mixing, nearest, packing, pii, quality, warc
 from sequora.llm.minhash_dedup import near_duplicates
 from sequora.llm.runtime import table
 from sequora.llm.substring_dedup import remove_repeats
@@ -18,6 +19,14 @@ def op1_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"), spark)
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), spark)
+
+
+def op4_nearest_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), spark, F.col("vec_id") % 20 == 0)
+
+
 def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"), spark))
@@ -48,6 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pii_bootstrap,
+        op3_embedding_near_dedup,
+        op4_nearest_products,
         op5_quality_gam,
         op6_warc_revisits,
         op7_minhash_near_dedup,
