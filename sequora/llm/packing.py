@@ -8,15 +8,16 @@ where they fit best; between epochs each island's best packing moves to the
 next.  Fitness is the mean square of bin fill.  Bins that stay badly filled are
 dissolved at the end, and those pieces of many shards are packed together.
 
-Ids: a chunk between spaces or line feeds is tokenised alone, since the
-tokenizer's words never reach over white space; distinct chunks are kept in a
-bounded table, and new ones go through the tokenizer together, held apart by a
-control character.  A chunk table that does not fit the tokenizer's answer, and
-texts with its special tokens, go through the tokenizer as they are.
+Ids: a chunk between white space is tokenised alone, since the tokenizer's words
+never reach over it; distinct chunks are kept in a bounded table, and new ones
+go through the tokenizer together, told apart by their last ids or by a control
+character between them.  Chunks whose answer does not fit that go one by one,
+and texts with the tokenizer's special tokens as they are.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -32,67 +33,137 @@ from sequora.llm.runtime import grouped, materialise, ship
 
 SIZE = 2048
 _MARK = "\x07"
+#: A word of Latin-1 letters, and a sign: normalisation leaves it alone but for its case.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)\Z")
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file, through a table of chunks seen before."""
+    """Ids of texts by a tokenizer file, through tables of chunks seen before.
 
-    def __init__(self, path: str, most: int = 250_000):
+    Most chunks are a word of Latin-1 letters with a full stop or comma or neither.  The tokenizer lower-cases, and a run of
+    letters and a sign after it are words of their own to it, so such a chunk is its lower-case word's ids and the sign's id.
+    """
+
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most = most
         self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
-        self.forget()
-
-    def forget(self) -> None:
-        self.code: dict[str, int] = {"": 0}
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.signs = [self.tokenizer.encode(c, add_special_tokens=False).ids for c in ".,"]
+        self.plain = [len(x) for x in self.signs] == [1, 1] and bool(self.ends_word.any())
+        self.seen, self.seen_code = np.zeros(0, K.U64), np.zeros(0, np.int64)  # chunks by hash, sorted
+        self.word: dict[str, int] = {"": 0}
         self.ids = np.zeros(0, np.uint32)
         self.cuts = np.zeros(2, np.int64)
+        self.hits = np.zeros(1, np.int64)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def learn(self, chunks: list[str]) -> None:
+    def forget(self) -> None:
+        """Keep the words met more than once."""
+        keep = np.flatnonzero(self.hits > 1)
+        if 2 * len(keep) > self.most:
+            keep = keep[:0]
+        keep = np.union1d(keep, [0])
+        lens = np.diff(self.cuts)[keep]
+        place = np.cumsum(lens) - lens
+        self.ids = self.ids[np.repeat(self.cuts[keep] - place, lens) + np.arange(int(lens.sum()))]
+        self.cuts = np.append(place, lens.sum())
+        names = list(self.word)
+        self.word = {names[i]: n for n, i in enumerate(keep.tolist())}
+        self.hits = np.ones(len(keep), np.int64)
+        self.seen, self.seen_code = np.zeros(0, K.U64), np.zeros(0, np.int64)
+
+    def learn(self, words: list[str], ended: bool) -> None:
+        """New entries of the word table; `ended`: each is one word to the tokenizer, so its end shows in the ids."""
         got = None
-        if len(self.mark) == 1 and not any(_MARK in c for c in chunks):
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(chunks)], add_special_tokens=False)[0].ids, np.uint32)
+        if ended:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(words) and ends[-1] == len(ids):
+                got = ids, np.diff(np.concatenate([[0], ends]))
+        elif len(self.mark) == 1 and not any(_MARK in c for c in words):
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids))
-            if len(ends) == len(chunks):
-                lens = np.diff(np.concatenate([[-1], ends])) - 1
-                got = np.delete(ids, ends[:-1]), lens
+            if len(ends) == len(words):
+                got = np.delete(ids, ends[:-1]), np.diff(np.concatenate([[-1], ends])) - 1
         if got is None:
-            each = [self.whole(c) for c in chunks]
+            each = [self.whole(c) for c in words]
             got = np.concatenate(each), np.array([len(x) for x in each])
-        n = len(self.cuts) - 1
-        self.code.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        self.word.update(zip(words, range(len(self.cuts) - 1, len(self.cuts) - 1 + len(words)), strict=True))
         self.ids = np.concatenate([self.ids, got[0]])
         self.cuts = np.concatenate([self.cuts, self.cuts[-1] + np.cumsum(got[1])])
+        self.hits = np.concatenate([self.hits, np.zeros(len(words), np.int64)])
 
-    def encode(self, texts: list[str], after: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids and offsets (n + 1) of texts, each followed by `after` if given."""
-        plain = [t if not any(s in t for s in self.special) else None for t in texts]
-        chunks = [t.replace("\n", " ").split(" ") if t is not None else [""] for t in plain]
-        counts = np.array([len(c) for c in chunks], np.int64)
-        flat = [c for x in chunks for c in x]
-        if len(self.code) > self.most:
+    def codes(self, h: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A code for each chunk, given by hash and place: three times its word's number, plus 1 or 2 for the sign after it."""
+        if len(self.seen) > 3 * self.most or len(self.word) > self.most:
             self.forget()
-        new = [c for c in dict.fromkeys(flat) if c not in self.code]
-        if new:
-            self.learn(new)
-        code = np.fromiter(map(self.code.__getitem__, flat), np.int64, len(flat))
-        begin, lens = self.cuts[code], np.diff(self.cuts)[code]
+        unique, first, back = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.seen, unique)
+        known = at < len(self.seen)
+        known[known] = self.seen[at[known]] == unique[known]
+        code = np.empty(len(unique), np.int64)
+        code[known] = self.seen_code[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            have, match, sign_of = self.word, _PLAIN.match, {"": 0, ".": 1, ",": 2}
+            raw = memoryview(data)
+            split: list[tuple[str, int]] = []
+            words: dict[str, None] = {}
+            odd: dict[str, None] = {}
+            for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True):
+                w = str(raw[s:e], "utf-8")
+                if self.plain and (m := match(w)):
+                    w, sign = m.groups()
+                    w = w.lower()
+                    split.append((w, sign_of[sign]))
+                    if w not in have:
+                        words[w] = None
+                else:
+                    split.append((w, 0))
+                    if w not in have:
+                        odd[w] = None
+            if words:
+                self.learn(list(words), True)
+            if odd:
+                self.learn(list(odd), False)
+            code[new] = [3 * have[w] + sign for w, sign in split]
+            self.seen = np.insert(self.seen, at[new], unique[new])
+            self.seen_code = np.insert(self.seen_code, at[new], code[new])
+        return code[back]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, after: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and offsets (n + 1) of the UTF-8 texts between offsets, each followed by `after` if given."""
+        h, starts, ends, first = K.words(data, offsets)
+        lo = int(offsets[0])
+        code = self.codes(h, data[lo : int(offsets[-1])], starts - lo, ends - lo)
+        word, sign = np.divmod(code, 3)
+        self.hits += np.bincount(word, minlength=len(self.hits))
+        begin, bare = self.cuts[word], np.diff(self.cuts)[word]
+        lens = bare + (sign > 0)
         place = np.cumsum(lens) - lens
-        ids = self.ids[np.repeat(begin - place, lens) + np.arange(int(lens.sum()))]
-        cuts = np.append(place, lens.sum())[np.concatenate([[0], np.cumsum(counts)])]
-        if after is None and None not in plain:
-            return ids, cuts
-        tail = np.zeros(0, np.uint32) if after is None else np.array([after], np.uint32)
-        if None not in plain:
-            return np.insert(ids, cuts[1:], after), cuts + np.arange(len(cuts))
-        parts = [np.concatenate([self.whole(texts[i]) if plain[i] is None else ids[cuts[i] : cuts[i + 1]], tail]) for i in range(len(texts))]
-        return np.concatenate([*parts, ids[:0]]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+        ids = np.empty(int(lens.sum()), np.uint32)
+        step = np.arange(int(bare.sum())) - np.repeat(np.cumsum(bare) - bare, bare)
+        ids[np.repeat(place, bare) + step] = self.ids[np.repeat(begin, bare) + step]
+        for n, x in enumerate(self.signs, 1):
+            at = sign == n
+            if at.any():
+                ids[place[at] + bare[at]] = x[0]
+        cuts = np.append(place, lens.sum())[first]
+        texts = [bytes(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        odd = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
+        if odd:
+            parts = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            for i in odd:
+                parts[i] = self.whole(texts[i].decode())
+            ids, cuts = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+        return (ids, cuts) if after is None else (np.insert(ids, cuts[1:], after), cuts + np.arange(len(cuts)))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -103,9 +174,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, after: int)
         _ENCODERS[path] = Encoder(path)
     encoder = _ENCODERS[path]
     for batch in batches:
-        _, offsets = K.string_buffers(batch.column("text"))
+        data, offsets = K.string_buffers(batch.column("text"))
         for i, j in K.slices(offsets, 1 << 20):
-            ids, cuts = encoder.encode([t or "" for t in batch.column("text").slice(i, j - i).to_pylist()], after)
+            ids, cuts = encoder.encode(data, offsets[i : j + 1], after)
             raw = memoryview(ids.astype("<u4").tobytes())
             lens = np.diff(cuts)
             n = -(-lens // size)
