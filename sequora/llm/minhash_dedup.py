@@ -23,7 +23,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sequora.llm import kernel as K
@@ -213,3 +213,15 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, shingle: int = 5, perc
     out = signed.join(by_class.select(*(F.col(x).alias(f"{x}_") for x in ("n", "f1", "f2")), "c"), (F.col("n") == F.col("n_")) & (F.col("f1") == F.col("f1_")) & (F.col("f2") == F.col("f2_")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, spark: SparkSession, **options: object) -> DataFrame:
+    """docs with one document of each component: the one whose doc_id is the component's.
+
+    Rows without doc_id stay; of rows that share a doc_id, one stays.
+    """
+    gone = near_duplicates(docs, spark, **options).where("not kept").select(F.col("doc_id").alias("gone_")).distinct()
+    order, same = fresh(docs, "again_"), F.col("doc_id").cast("long")
+    left = docs.join(gone, same == F.col("gone_"), "left_anti")
+    once = Window.partitionBy(same).orderBy(F.xxhash64("text"))
+    return left.withColumn(order, F.row_number().over(once)).where((F.col(order) == 1) | same.isNull()).drop(order)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from sequora.llm import embedding_dedup, mixing, nearest, packing, pii, quality, warc
+from sequora.llm import embedding_dedup, html_text, mixing, nearest, packing, pii, quality, warc
 from sequora.llm.minhash_dedup import near_duplicates
 from sequora.llm.runtime import table
 from sequora.llm.substring_dedup import remove_repeats
@@ -19,6 +19,10 @@ def op1_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"), spark)
 
 
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"), spark)
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), spark)
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pii_bootstrap,
+        op2_html_main_text,
         op3_embedding_near_dedup,
         op4_nearest_products,
         op5_quality_gam,
