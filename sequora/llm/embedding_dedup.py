@@ -7,12 +7,12 @@ the cell of its nearest centroid, and visits each cell of smaller number whose
 boundary with its own is nearer than `reach`: two vectors at the threshold
 differ by 0.32 in all, and along any one direction, such as across a boundary,
 by much less.  A reach of sqrt(2 - 2 * threshold) can miss no pair; the default
-is half of it, four standard deviations of a difference without direction in 64
+is 0.4 of it, three standard deviations of a difference without direction in 64
 dimensions.  Measured recall is in the README.
 
-A cell is compared in blocks of bounded size, home against home and visitors;
-blocks give each row's number of links and one link to its block's component,
-never a list of pairs.
+A cell's home rows meet all its rows, in blocks of bounded size; blocks give
+each row's number of links and one link to its block's component, never a list
+of pairs.  Vectors travel as bytes.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sequora.llm.runtime import connected_components, grouped, materialise, ship
-from sequora.llm.vectors import common_length, matrix, usable
+from sequora.llm.vectors import common_length, packed, unpacked
 
-BLOCK_ROWS = 4000
+HOME_ROWS, ALL_ROWS = 2000, 8000
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -56,8 +56,7 @@ def _assign(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, reach: flo
     for batch in batches:
         if not batch.num_rows:
             continue
-        e = batch.column("e")
-        x = matrix(e, centroids.shape[1])
+        x = unpacked(batch.column("e"), centroids.shape[1])
         s = (x / np.linalg.norm(x, axis=1)[:, None]) @ centroids.T
         home = s.argmax(1)
         gap = s[np.arange(len(s)), home][:, None] - s
@@ -65,80 +64,92 @@ def _assign(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, reach: flo
         visits[np.arange(len(s)), home] = True
         row, cell = np.nonzero(visits)
         at = pa.array(row)
-        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(cell == home[row]), batch.column("rep").take(at), batch.column("copies").take(at), e.take(at)], ["cell", "home", "rep", "copies", "e"])
-
-
-def block_links(x: np.ndarray, copies: np.ndarray, allowed: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows whose cosine is at least the threshold: each row's links (counted in copies), and its component's smallest row.
-
-    allowed: a boolean matrix's factors as small integers: rows i and j are compared if allowed[i] & allowed[j] is 0.
-    """
-    n = len(x)
-    size = np.linalg.norm(x, axis=1)
-    unit = (x / size[:, None]).astype(np.float32)
-    links, label = np.zeros(n, np.int64), np.arange(n)
-    for i in range(0, n, 512):
-        s = unit[i : i + 512] @ unit.T
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(cell == home[row]), batch.column("rep").take(at), batch.column("copies").take(at), batch.column("e").take(at)], ["cell", "home", "rep", "copies", "e"])
+
+
+def block_links(a: np.ndarray, b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, copies_a: np.ndarray, copies_b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Links (counted in copies) of a's rows to b's and of b's to a's, where the cosine is at least the threshold and ids differ;
+    and the ids of both with the smallest id of each one's component."""
+    size_a, size_b = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+    unit_a, unit_b = (a / size_a[:, None]).astype(np.float32), (b / size_b[:, None]).astype(np.float32)
+    ids, place = np.unique(np.concatenate([ids_a, ids_b]), return_inverse=True)
+    in_a, in_b = place[: len(a)], place[len(a) :]
+    links_a, links_b, label = np.zeros(len(a)), np.zeros(len(b)), np.arange(len(ids))
+    for i in range(0, len(a), 512):
+        s = unit_a[i : i + 512] @ unit_b.T
         near = s >= threshold - 1e-5
-        near &= (allowed[i : i + 512, None] & allowed[None]) == 0
-        near[np.arange(len(s)), np.arange(i, i + len(s))] = False
         r, c = np.nonzero(near & (s <= threshold + 1e-5))  # decided in double precision
         if len(r):
-            near[r, c] = (x[i + r] * x[c]).sum(1) / (size[i + r] * size[c]) >= threshold
-        links[i : i + 512] += np.rint(near @ copies).astype(np.int64)
-        for r in np.flatnonzero(near.any(1)).tolist():
-            met = np.unique(np.append(label[near[r]], label[i + r]))
+            near[r, c] = (a[i + r] * b[c]).sum(1) / (size_a[i + r] * size_b[c]) >= threshold
+        rows = np.flatnonzero(near.any(1))
+        if not len(rows):
+            continue
+        near[rows] &= in_a[i + rows][:, None] != in_b[None]
+        links_a[i : i + 512] += near @ copies_b
+        links_b += copies_a[i : i + 512] @ near
+        for r in rows[near[rows].any(1)].tolist():
+            met = np.unique(np.append(label[in_b[near[r]]], label[in_a[i + r]]))
             if len(met) > 1:
                 label[np.isin(label, met)] = met[0]
-    return links, label
+    return np.rint(links_a).astype(np.int64), np.rint(links_b).astype(np.int64), ids, ids[label]
 
 
 def _compare(batches: Iterator[pa.RecordBatch], length: int, threshold: float) -> Iterator[pa.RecordBatch]:
     for rows in grouped(batches, ["cell", "p", "q"]):
         rows = rows.combine_chunks()
-        rows = rows.take(pa.array(np.argsort(rows["rep"].to_numpy(), kind="stable")))
-        p, q, block = (rows[c].to_numpy() for c in ("p", "q", "block"))
-        visitor = ~rows["home"].to_numpy(zero_copy_only=False)
-        # visitors don't meet each other here; across two blocks, rows of one block don't meet either
-        mask = visitor * 1 + (p != q) * np.where(block == p, 2, 4)
-        links, label = block_links(matrix(rows["e"], length), rows["copies"].to_numpy().astype(np.float64), mask.astype(np.int64), threshold)
-        own = np.flatnonzero(links > 0)
-        ids = rows["rep"].to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[label[own]]), pa.array(links[own])], ["a", "b", "links"])
-
-
-def near_duplicates(df: DataFrame, spark: SparkSession, threshold: float = 0.95, per_cell: int = 500, most_cells: int = 1024, sample: int = 20_000, reach: float | None = None) -> DataFrame:
+        first, home = (rows[c].to_numpy(zero_copy_only=False) for c in ("first", "home"))
+        x = unpacked(rows["e"], length)
+        ids, copies = rows["rep"].to_numpy(), rows["copies"].to_numpy().astype(np.float64)
+        a, b = np.flatnonzero(first), np.flatnonzero(~first)
+        links_a, links_b, names, roots = block_links(x[a], x[b], ids[a], ids[b], copies[a], copies[b], threshold)
+        links_b[home[b]] = 0  # a home row counts its links where it is of the first side
+        moved = np.flatnonzero(names != roots)
+        out = np.concatenate([ids[a], ids[b], names[moved]])
+        root = np.concatenate([ids[a], ids[b], roots[moved]])
+        links = np.concatenate([links_a, links_b, np.zeros(len(moved), np.int64)])
+        keep = np.flatnonzero((links > 0) | (out != root))
+        yield pa.RecordBatch.from_arrays([pa.array(out[keep]), pa.array(root[keep]), pa.array(links[keep])], ["a", "b", "links"])
+
+
+def near_duplicates(df: DataFrame, spark: SparkSession, threshold: float = 0.95, per_cell: int = 2000, most_cells: int = 1024, sample: int = 20_000, reach: float | None = None) -> DataFrame:
     """Per row of df (vec_id, embedding, any others): vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, and those of another length than the
     commonest, link with nothing.  n_links counts other vec_ids with cosine >= threshold in double precision; component_id is
-    the smallest vec_id reachable.  A row without vec_id has no links and a null component.  Repeated rows have equal results.
+    the smallest vec_id reachable.  A row without vec_id has no links and a null component.  Rows that share a vec_id have equal
+    results: those of the vector with most links.
     """
     ship(spark)
-    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
+    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("e"))
     length = common_length(rows, "e")
-    fit = usable(F.col("e")) & (F.size("e") == length) & F.col("vec_id").isNotNull()
-    keyed = rows.select("vec_id", "e", F.when(fit, F.xxhash64("e")).alias("h1"), F.when(fit, F.xxhash64(F.lit(7), "e")).alias("h2"))
-    classes = keyed.where("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"), F.first("e").alias("e"))
+    keyed = packed(rows.where("vec_id is not null"), length, "vec_id long, e binary")
+    keyed = keyed.select("vec_id", "e", F.xxhash64("e").alias("h1"), F.xxhash64(F.lit(7), "e").alias("h2"))
+    keyed = materialise(keyed, spark)
+    classes = keyed.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"), F.first("e").alias("e"))
     classes = materialise(classes, spark)
     some = classes.orderBy("h1", "h2").limit(sample).select("e").toArrow()
     n = classes.count()
-    reach = np.sqrt(2 - 2 * threshold) / 2 if reach is None else reach
+    reach = 0.4 * np.sqrt(2 - 2 * threshold) if reach is None else reach
     if n:
-        x = matrix(some["e"], length)
+        x = unpacked(some["e"], length)
         centroids = spherical_kmeans(x / np.linalg.norm(x, axis=1)[:, None], int(np.clip(n // per_cell, 1, most_cells)))
     else:
-        centroids = np.zeros((0, max(length, 1)))
-    cells = materialise(classes.select("rep", "copies", "e").mapInArrow(partial(_assign, centroids=centroids, reach=reach), "cell int, home boolean, rep long, copies long, e array<double>"), spark)
-    blocks = cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).withColumnRenamed("cell", "cell_")
-    dealt = cells.join(blocks, F.col("cell") == F.col("cell_")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cell", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "home", "rep", "copies", "e")
-    found = materialise(dealt.repartition("cell", "p", "q").sortWithinPartitions("cell", "p", "q").mapInArrow(partial(_compare, length=length, threshold=threshold), "a long, b long, links long"), spark)
+        centroids = np.zeros((0, length))
+    cells = materialise(classes.select("rep", "copies", "e").mapInArrow(partial(_assign, centroids=centroids, reach=reach), "cell int, home boolean, rep long, copies long, e binary"), spark)
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count_if("home") / HOME_ROWS).cast("int").alias("ps"), F.ceil(F.count("*") / ALL_ROWS).cast("int").alias("qs")).withColumnRenamed("cell", "cell_")
+    known = cells.join(sizes, F.col("cell") == F.col("cell_")).where("ps > 0")
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = known.where("home").select("cell", block("ps").alias("p"), every("qs").alias("q"), F.lit(True).alias("first"), "home", "rep", "copies", "e")
+    other = known.select("cell", every("ps").alias("p"), block("qs").alias("q"), F.lit(False).alias("first"), "home", "rep", "copies", "e")
+    dealt = one.unionByName(other).repartition("cell", "p", "q").sortWithinPartitions("cell", "p", "q")
+    found = materialise(dealt.mapInArrow(partial(_compare, length=length, threshold=threshold), "a long, b long, links long"), spark)
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
     groups = connected_components(found.select("a", "b"), spark)
     by_class = classes.join(links, F.col("rep") == F.col("a"), "left").join(groups, F.col("rep") == F.col("id"), "left")
     by_class = by_class.select(F.col("h1").alias("h1_"), F.col("h2").alias("h2_"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
-    out = keyed.select("vec_id", "h1", "h2").join(by_class, (F.col("h1") == F.col("h1_")) & (F.col("h2") == F.col("h2_")), "left")
+    linked = keyed.select("vec_id", "h1", "h2").join(by_class, (F.col("h1") == F.col("h1_")) & (F.col("h2") == F.col("h2_")))
+    linked = linked.groupBy(F.col("vec_id").alias("v_")).agg(F.max("n").alias("n"), F.min("c").alias("c"))
+    out = rows.select("vec_id").join(linked, F.col("vec_id") == F.col("v_"), "left")
     component = F.coalesce("c", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))

@@ -2,26 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(e: Column) -> Column:
-    """Not null, not empty, without null or non-finite components, not all zero."""
-    bad = F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return F.coalesce(e.isNotNull() & (F.size(e) > 0) & ~bad & F.exists(e, lambda v: v != 0), F.lit(False))
+def common_length(df: DataFrame, column: str) -> int:
+    """The commonest length of vectors that are not empty (the smallest of equally common ones); 1 without any."""
+    row = df.where(F.size(column) > 0).groupBy(F.size(column).alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return row["n"] if row else 1
 
 
-def common_length(df: DataFrame, column: str) -> int:
-    """The commonest length of usable vectors (the smallest of equally common ones); 0 without any."""
-    row = df.where(usable(F.col(column))).groupBy(F.size(column).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return row["n"] if row else 0
+def _pack(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        e = batch.column("e")
+        keep = pa.compute.fill_null(pa.compute.equal(pa.compute.list_value_length(e), length), False)
+        batch = batch.filter(keep)
+        flat = batch.column("e").flatten()
+        x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, length)
+        ok = np.isfinite(x).all(1) & (x != 0).any(1)
+        if flat.null_count:
+            ok &= ~np.asarray(flat.is_null()).reshape(-1, length).any(1)
+        x = x[ok] + 0.0  # -0.0 and 0.0 are one
+        rest = batch.filter(pa.array(ok)).drop_columns(["e"])
+        yield rest.append_column("e", pa.array([r.tobytes() for r in x], pa.binary()))
+
+
+def packed(df: DataFrame, length: int, schema: str) -> DataFrame:
+    """df, whose vector column is e, with the usable vectors of this length as bytes of doubles; other rows go.
+
+    `schema`: the other columns and then e binary."""
+    return df.mapInArrow(partial(_pack, length=length), schema)
 
 
-def matrix(column: pa.Array, length: int) -> np.ndarray:
-    """Rows of a list column without nulls, in double precision."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, length)
+def unpacked(column: pa.ChunkedArray | pa.Array, length: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, length)
