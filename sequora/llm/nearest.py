@@ -23,13 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sequora.llm.runtime import grouped, ship
-from sequora.llm.vectors import common_length, matrix, usable
+from sequora.llm.runtime import grouped, materialise, ship
+from sequora.llm.vectors import common_length, packed, unpacked
 
-HASHES = 160
+HASHES = 96
 COLLISIONS = 0.66
-SHARE = 0.2
-LEVELS = (0.35, 0.6, 0.85, 1.0, 1.1, 1.2, 1.35, 1.5, 2.0)
+SHARE = 0.08  # of a block's rows, and EXTRA rows, are verified before windows stop growing
+EXTRA = 300
+LEVELS = (1.15, 1.3, 1.45, 1.7, 2.2)
+CERTAIN = 1.1  # the k-th best distance is so far inside the level's radius when windows stop growing
+PARTS = 255  # a rank is kept as one of so many equal parts of its array
 
 
 class SortedProjections:
@@ -45,59 +48,81 @@ class SortedProjections:
         h = raised @ self.directions
         order = np.argsort(h, 0, kind="stable")
         self.values = np.ascontiguousarray(np.take_along_axis(h, order, 0).T)
-        self.ranks = np.empty((hashes, self.n), np.uint16)
-        np.put_along_axis(self.ranks, order.T, np.broadcast_to(np.arange(self.n, dtype=np.uint16), self.ranks.shape), 1)
-
-    def nearest(self, q: np.ndarray, ids: np.ndarray, not_: int, k: int, share: float = SHARE, collisions: float = COLLISIONS) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and inner products of the k best verified rows other than id `not_`."""
-        length = float(np.sqrt((q**2).sum()))
-        centre = (q / length) @ self.directions[:-1]
-        seen = np.zeros(self.n, bool)
-        rows, scores = np.zeros(0, np.int64), np.zeros(0)
-        most, least = int(k + share * self.n), min(k, self.n - int((ids == not_).any()))
+        place = np.empty((hashes, self.n), np.int64)
+        np.put_along_axis(place, order.T, np.broadcast_to(np.arange(self.n), place.shape), 1)
+        self.ranks = (place * PARTS // self.n).astype(np.uint8)
+        self.shift, self.met = np.empty_like(self.ranks), np.empty(self.ranks.shape, bool)
+
+    def windows(self, centres: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each query: first part and number of parts of each sorted array within `radius` of its centre, to the nearest part."""
+        lo, hi = (np.stack([np.searchsorted(v, c + r, side) for v, c in zip(self.values, centres.T, strict=True)], 1) for r, side in ((-radius, "left"), (radius, "right")))
+        lo, hi = (np.rint(x * (PARTS / self.n)).astype(np.int64) for x in (lo, hi))
+        return lo.astype(np.uint8), (hi - lo).astype(np.uint8)
+
+    def nearest(self, queries: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, share: float = SHARE, collisions: float = COLLISIONS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query: rows and inner products of the k best verified rows other than its own id."""
+        lengths = np.sqrt((queries**2).sum(1))
+        centres = (queries / lengths[:, None]) @ self.directions[:-1]
+        most, enough = int(k + EXTRA + share * self.n), collisions * len(self.ranks)
+        least = np.minimum(k, self.n - np.isin(own, ids))
+        rows = [np.zeros(0, np.int64)] * len(queries)
+        scores = [np.zeros(0)] * len(queries)
+        active = np.arange(len(queries))
         for radius in LEVELS:
-            lo = np.array([np.searchsorted(v, c - radius, "left") for v, c in zip(self.values, centre, strict=True)])
-            hi = np.array([np.searchsorted(v, c + radius, "right") for v, c in zip(self.values, centre, strict=True)])
-            met = ((self.ranks - lo.astype(np.uint16)[:, None]) < (hi - lo).astype(np.uint16)[:, None]).sum(0, dtype=np.uint16)
-            full = hi - lo > 65535
-            if full.any():
-                met += np.uint16(full.sum())
-            new = np.flatnonzero((met >= collisions * len(self.ranks)) & ~seen)
-            seen[new] = True
-            new = new[ids[new] != not_]
-            rows, scores = np.append(rows, new), np.append(scores, self.x[new] @ q)
-            if len(rows) >= least:
-                if len(rows) >= most:
-                    break
-                kth = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -np.inf
-                if 2 - 2 * kth / (length * self.longest) <= radius**2:
-                    break
-        else:
-            if len(rows) < least:
-                rows = np.flatnonzero(ids != not_)
-                scores = self.x[rows] @ q
-        if len(rows) > k:
-            kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-            rows = rows[scores >= kth - 1e-9 * max(1.0, abs(kth))]
-        scores = (self.x[rows] * q).sum(1)  # one order of summation, so equal vectors have equal scores
-        best = np.lexsort((ids[rows], -scores))[:k]
-        return rows[best], scores[best]
+            lo, n = self.windows(centres[active], radius)
+            still = []
+            for i, a, m in zip(active.tolist(), lo, n, strict=True):
+                np.subtract(self.ranks, a[:, None], out=self.shift)
+                np.less(self.shift, m[:, None], out=self.met)
+                new = np.add.reduce(self.met.view(np.uint8), 0) >= enough
+                new[rows[i]] = False
+                new = np.flatnonzero(new)
+                new = new[ids[new] != own[i]]
+                rows[i], scores[i] = np.append(rows[i], new), np.append(scores[i], self.x[new] @ queries[i])
+                if len(rows[i]) >= max(least[i], 1):
+                    if len(rows[i]) >= most:
+                        continue
+                    kth = np.partition(scores[i], len(scores[i]) - k)[len(scores[i]) - k] if len(scores[i]) >= k else -np.inf
+                    if 2 - 2 * kth / (lengths[i] * self.longest) <= (radius / CERTAIN) ** 2:
+                        continue
+                still.append(i)
+            active = np.array(still, np.int64)
+            if not len(active):
+                break
+        out = []
+        for i, q in enumerate(queries):
+            if len(rows[i]) < least[i]:
+                rows[i] = np.flatnonzero(ids != own[i])
+                scores[i] = self.x[rows[i]] @ q
+            r, s = rows[i], scores[i]
+            if len(r) > k:
+                kth = np.partition(s, len(s) - k)[len(s) - k]
+                r = r[s >= kth - 1e-9 * max(1.0, abs(kth))]
+            s = (self.x[r] * q).sum(1)  # one order of summation, so equal vectors have equal scores
+            best = np.lexsort((ids[r], -s))[:k]
+            out.append((r[best], s[best]))
+        return out
+
+
+def _longest(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array([float(np.linalg.norm(unpacked(batch.column("e"), length), axis=1).max())])], ["longest"])
 
 
 def _search(batches: Iterator[pa.RecordBatch], length: int, longest: float, k: int) -> Iterator[pa.RecordBatch]:
     for rows in grouped(batches, ["block", "chunk"]):
         rows = rows.combine_chunks()
         asks = rows["asks"].to_numpy(zero_copy_only=False)
-        x, ids = matrix(rows["e"], length), rows["vec_id"].to_numpy()
+        x, ids = unpacked(rows["e"], length), rows["vec_id"].to_numpy()
         if asks.all() or not asks.any():
             continue
         data = np.flatnonzero(~asks)
         data = data[np.argsort(ids[data], kind="stable")]
         index = SortedProjections(x[data], longest)
-        out = [(int(ids[i]), *index.nearest(x[i], ids[data], int(ids[i]), k)) for i in np.flatnonzero(asks)]
-        found = ids[data]
-        n = [len(r) for _, r, _ in out]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _, _ in out], n)), pa.array(np.concatenate([found[r] for _, r, _ in out])), pa.array(np.concatenate([s for _, _, s in out]))], ["query_id", "vec_id", "score"])
+        ask, found = np.flatnonzero(asks), ids[data]
+        out = index.nearest(x[ask], found, ids[ask], k)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[ask], [len(r) for r, _ in out])), pa.array(np.concatenate([found[r] for r, _ in out])), pa.array(np.concatenate([s for _, s in out]))], ["query_id", "vec_id", "score"])
 
 
 def search(df: DataFrame, spark: SparkSession, queries: Column, k: int = 20, block_rows: int = 8192, chunk_rows: int = 2048) -> DataFrame:
@@ -105,17 +130,15 @@ def search(df: DataFrame, spark: SparkSession, queries: Column, k: int = 20, blo
 
     Candidates are all rows but those with the query's own id.  Vectors that are null, empty or zero, or hold null or
     non-finite components, those of another length than the commonest, and rows without id take no part; of rows that
-    share an id, the first by components counts.  Ties go to the smaller id; with fewer than k candidates all are returned.
+    share an id, the first by bytes counts.  Ties go to the smaller id; with fewer than k candidates all are returned.
     """
-    if not 0 < block_rows < 65536:
-        raise ValueError("ranks in a block are 16-bit")
     ship(spark)
-    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.coalesce(queries, F.lit(False)).alias("q"))
+    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.coalesce(queries, F.lit(False)).alias("q"), F.col("embedding").alias("e")).where("vec_id is not null")
     length = common_length(rows, "e")
-    rows = rows.where(usable(F.col("e")) & (F.size("e") == length) & F.col("vec_id").isNotNull())
-    rows = rows.groupBy("vec_id").agg(F.min("e").alias("e"), F.max("q").alias("q"))
-    size = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, v: a + v * v))
-    facts = rows.agg(F.max(size).alias("longest"), F.count("*").alias("n"), F.count_if("q").alias("asked")).first()
+    rows = packed(rows, length, "vec_id long, q boolean, e binary").groupBy("vec_id").agg(F.min("e").alias("e"), F.max("q").alias("q"))
+    rows = materialise(rows, spark)
+    sizes = rows.mapInArrow(partial(_longest, length=length), "longest double").agg(F.max("longest").alias("longest"))
+    facts = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("asked")).crossJoin(sizes).first()  # one row by one row
     blocks, chunks = max(1, -(-facts.n // block_rows * 5 // 4)), max(1, -(-facts.asked // chunk_rows))
     part = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
