@@ -254,8 +254,14 @@ def embedding_lookup(s: SparkSession, d: str) -> DataFrame:
 
 # Proximity ---------------------------------------------------------------------------------------------------------------
 
-_CLICK = F.col("type_id").isin(1, 2)
-_VALID = (F.col("type_id") > 0) & (F.col("t") > 0)
+
+def _click() -> Column:
+    return F.col("type_id").isin(1, 2)
+
+
+def _valid() -> Column:
+    return (F.col("type_id") > 0) & (F.col("t") > 0)
+
 
 
 @query(
@@ -263,7 +269,7 @@ _VALID = (F.col("type_id") > 0) & (F.col("t") > 0)
 SELECT event_id, round(1 + CASE WHEN type_id IN (1, 2) THEN 0 ELSE 3.0::DOUBLE * coalesce(exp(-(a - t) / 7200.0::DOUBLE), 0) END, 6) AS weight FROM n"""
 )
 def ad_proximity_weights(s: SparkSession, d: str) -> DataFrame:
-    return proximity.ahead(events(s, d), "user_id", "t", _CLICK, _VALID, 3.0, 7200, 86400).select("event_id", r6("weight").alias("weight"))
+    return proximity.ahead(events(s, d), "user_id", "t", _click(), _valid(), 3.0, 7200, 86400).select("event_id", r6("weight").alias("weight"))
 
 
 _AROUND = f"""{EV}, n AS (SELECT *, min(CASE WHEN type_id IN (1, 2) THEN t END) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN CURRENT ROW AND 7200 FOLLOWING) - t AS a,
@@ -273,7 +279,7 @@ w AS (SELECT *, 1 + CASE WHEN type_id IN (1, 2) THEN 0 ELSE 3.0::DOUBLE * ({case
 
 
 def _weights(s: SparkSession, d: str) -> DataFrame:
-    return proximity.around(events(s, d), "user_id", "t", _CLICK, _VALID, 4.0, 1800.0, 7200, 3600, 1.0, 0.5, STREAM.gate(F.col("type_id")))
+    return proximity.around(events(s, d), "user_id", "t", _click(), _valid(), 4.0, 1800.0, 7200, 3600, 1.0, 0.5, STREAM.gate(F.col("type_id")))
 
 
 @query(f"WITH {_AROUND} SELECT event_id, round(weight, 6) AS weight FROM w")
@@ -291,7 +297,7 @@ SELECT v.event_id, round(1 + 3.0::DOUBLE * coalesce(best, 0), 6) AS weight FROM
 def ad_anchor_semantic(s: SparkSession, d: str) -> DataFrame:
     vectors = read(s, d, "embeddings").select(F.col("vec_id").alias("k"), "embedding")
     rows = events(s, d).join(vectors, "k")
-    return proximity.around_similar(rows, "user_id", "event_id", "t", "embedding", _CLICK, _VALID, 4.0, 3600.0, 7200, -0.2, 1.0).select("event_id", r6("weight").alias("weight"))
+    return proximity.around_similar(rows, "user_id", "event_id", "t", "embedding", _click(), _valid(), 4.0, 3600.0, 7200, -0.2, 1.0).select("event_id", r6("weight").alias("weight"))
 
 
 _DIAGNOSTICS = "count(*) AS n, round(avg(weight), 6) AS mean_weight, round(max(weight), 6) AS max_weight, round(avg((weight > 1)::INT), 6) AS frac_gt_1, round(avg((weight >= 1.5)::INT), 6) AS frac_ge_1_5, round(avg((weight >= 2)::INT), 6) AS frac_ge_2, round(avg((weight >= 3)::INT), 6) AS frac_ge_3, round(avg((weight >= 3.5)::INT), 6) AS frac_ge_3_5"
@@ -312,7 +318,7 @@ SELECT id, n, near, round(p, 6) AS p, round(least(greatest((p - low) / greatest(
 )
 def empirical_anchor_prob(s: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("t")
-    hit = F.when(_CLICK, F.col("t"))
+    hit = F.when(_click(), F.col("t"))
     near = F.min(hit).over(w.rangeBetween(0, 7200)).isNotNull() | F.max(hit).over(w.rangeBetween(-3600, -1)).isNotNull()
     out = proximity.near_probability(events(s, d).withColumn("near_", near), "id", "event_type", F.col("near_"))
     return out.select("id", "n", "near", r6("p").alias("p"), F.round("gate", 4).alias("gate"))
@@ -403,7 +409,7 @@ def metrics_by_domain(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_RECORDS} SELECT {_MEANS} FROM rec WHERE type_id IN (1, 2)")
 def metrics_ads_only(s: SparkSession, d: str) -> DataFrame:
-    return _rounded(ranking.masked(_records(s, d), "target_rank", _CLICK))
+    return _rounded(ranking.masked(_records(s, d), "target_rank", _click()))
 
 
 _LOGITS = """o AS (SELECT l_orderkey, max(CASE WHEN l_linenumber = 1 THEN l_discount END) / 0.05::DOUBLE AS p, max(CASE WHEN l_linenumber = 1 THEN l_partkey END) AS part, max(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS w FROM lineitem GROUP BY l_orderkey),
