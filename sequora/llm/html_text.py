@@ -10,7 +10,7 @@ good; short is undecided; in the page's article element a block is good unless
 it is mostly links, and where there is such an element, blocks outside are bad.
 Pass 2 lets undecided blocks inherit: between two decided neighbours of one kind
 that kind, between different ones good if the nearer is good (equally near: good
-for headings, which belong to what follows, else bad).
+for a heading before good text and a paragraph after it, else bad).
 """
 
 from __future__ import annotations
@@ -176,7 +176,7 @@ def main_text(page: str, short: int = 70, long: int = 200, links: float = 0.4, s
                 kind = bool(kinds[before])
             else:
                 good, bad = (before, after) if kinds[before] else (after, before)
-                kind = abs(good - i) < abs(bad - i) or abs(good - i) == abs(bad - i) and good == after and found[i][2] in _HEADINGS
+                kind = abs(good - i) < abs(bad - i) or abs(good - i) == abs(bad - i) and (found[i][2] in _HEADINGS if good == after else found[i][2] in ("p", ""))
         if kind:
             keep.append(found[i][0])
     return "\n".join(keep)

@@ -129,17 +129,15 @@ def estimates(one: np.ndarray, all_: np.ndarray) -> np.ndarray:
 
 
 def linked(bits: np.ndarray, n: np.ndarray, sets: list[np.ndarray], left: np.ndarray, percent: int, margin: float) -> Links:
-    """Connect rows whose sets are alike; `left`: 0, 1 or 2 (alone in its block: within; 1 and 2: only across)."""
+    """Connect rows whose sets are alike; `left`: 0 for all (one block: within it), or 1 and 2 (two blocks: only across)."""
     found = Links(len(n))
     across = bool(left.any())
     for i in range(len(n) - 1):
-        if across and left[i] == 2:
-            continue
         near = estimates(bits[i], bits[i + 1 :])
         m = n[i + 1 :]
         ok = (near >= percent / 100 - margin) & (100 * np.minimum(m, n[i]) >= percent * np.maximum(m, n[i]))
         if across:
-            ok &= left[i + 1 :] == 2
+            ok &= left[i + 1 :] != left[i]
         others = np.flatnonzero(ok)
         for j in (others[np.argsort(-near[others], kind="stable")] + i + 1).tolist():
             if found.root(i) != found.root(j):
