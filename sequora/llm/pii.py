@@ -1,9 +1,10 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base entities (e-mail, IP, card, phone) are found by fixed patterns and seed the
-bootstrap.  Every seed and every other identifier-like token is an occurrence
-with two contexts: the word before it with its shape, and its shape with the
-word after it.  Contexts and identifiers form a graph with an edge wherever
+bootstrap.  Every seed, every other identifier-like token, and every stretch of
+a run of digits and signs that the phone pattern matched in vain, is an
+occurrence with three contexts: the word before it with its shape, its shape
+with the word after it, and its shape with the lengths of its runs of digits.  Contexts and identifiers form a graph with an edge wherever
 they occur together.  Rounds on that graph in Spark: a context's confidence is
 the share of its identifiers' confidence, smoothed; contexts that enough
 different seeds support give their kind to the identifiers met in them, whose
@@ -40,6 +41,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\s\"'<>=|,;]*[0-9@][^\s\"'<>=|,;]*")
 _WORD_BEFORE = re.compile(r"(\S{1,40})\s*\Z")
 _WORD_AFTER = re.compile(r"\s*(\S{1,40})")
+_DIGITS = re.compile(r"[0-9]++")
 _TRAILING = ".!?:)]}*#%&$"
 _DIGIT = np.zeros(256, bool)
 _DIGIT[[*range(ord("0"), ord("9") + 1), ord("@")]] = True
@@ -91,12 +93,17 @@ def shape(token: str) -> str:
     return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "0", token))[:40]
 
 
+def exact_shape(token: str) -> str:
+    """As shape, with the length of each run of digits."""
+    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", lambda m: f"<{len(m[0])}>", token))[:60]
+
+
 def _hash(*parts: str) -> int:
     return int.from_bytes(xxhash.xxh64("\x1f".join(parts).encode("utf-8", "surrogatepass")).digest(), "big", signed=True)
 
 
-def occurrences(t: str, base: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int, int, int, int]]:
-    """(kind or -1, start, end, identifier, context before, context after) of seeds and of other tokens with at least `least` digits."""
+def occurrences(t: str, base: list[tuple[int, int, int]], least: int) -> list[tuple[int, ...]]:
+    """(kind or -1, start, end, identifier, contexts before, after and within) of seeds and of other tokens with at least `least` digits."""
     taken = sorted((s, e) for _, s, e in base)
     found = list(base)
     i = 0
@@ -110,18 +117,22 @@ def occurrences(t: str, base: list[tuple[int, int, int]], least: int) -> list[tu
             i += 1
         if (i == len(taken) or taken[i][0] >= e) and sum("0" <= c <= "9" for c in t[s:e]) >= least:
             found.append((-1, s, e))
+    for m in _PHONE.finditer(t):
+        if sum(c.isdigit() for c in m[0]) > 15:  # several numbers in a row: each stretch of the first ones that could be a phone
+            ends = [m.start() + x.end() for x in _DIGITS.finditer(m[0][:40])]
+            found += [(-1, m.start(), e) for e in ends if 8 <= sum(c.isdigit() for c in t[m.start() : e]) <= 15 and not any(a < e and m.start() < b for a, b in taken)]
     out = []
     for k, s, e in found:
         token = t[s:e]
         form = shape(token)
         b, a = _WORD_BEFORE.search(t[max(0, s - 60) : s]), _WORD_AFTER.match(t[e : e + 60])
         before, after = shape(b[1].lower()) if b and any(c.isdigit() for c in b[1]) else b[1].lower() if b else "", a[1].lower() if a else ""
-        out.append((k, s, e, _hash(token), _hash("b", before, form), _hash("a", form, after)))
+        out.append((k, s, e, _hash(token), _hash("b", before, form), _hash("a", form, after), _hash("w", exact_shape(token))))
     return out
 
 
-_FIELDS = ("kind", "start", "end", "id", "before", "after")
-_TYPE = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("id", pa.int64()), ("before", pa.int64()), ("after", pa.int64())])
+_FIELDS = ("kind", "start", "end", "id", "before", "after", "within")
+_TYPE = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("id", pa.int64()), ("before", pa.int64()), ("after", pa.int64()), ("within", pa.int64())])
 
 
 def _scan(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -155,10 +166,10 @@ def extract(docs: DataFrame, spark: SparkSession, rounds: int = 3, support: int
     `support`: different seeds that a context needs; `confident`: least confidence of a context and of an identifier.
     """
     ship(spark)
-    schema = "key long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, occ array<struct<kind int, start int, end int, id long, before long, after long>>"
+    schema = "key long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, occ array<struct<kind int, start int, end int, id long, before long, after long, within long>>"
     rows = materialise(_keyed(docs).mapInArrow(partial(_scan, least=least_digits), schema), spark)
     occ = rows.select("key", F.inline("occ"))
-    edges = occ.select(F.explode(F.array("before", "after")).alias("context"), "id", "kind").groupBy("context", "id").agg(F.max("kind").alias("kind"))
+    edges = occ.select(F.explode(F.array("before", "after", "within")).alias("context"), "id", "kind").groupBy("context", "id").agg(F.max("kind").alias("kind"))
     edges = materialise(edges, spark)
     seeds = edges.where("kind >= 0").groupBy("id").agg(F.max("kind").alias("k"), F.lit(1.0).alias("score"))
     known = seeds

@@ -195,7 +195,7 @@ def test_pii(spark, request, table):
 
 
 def test_bootstrap_finds_unseen_identifiers(spark):
-    """Card-like numbers in the contexts of cards are found though they fail the check sum; numbers elsewhere are not."""
+    """Numbers like cards, and numbers that run into each other, are found where the base patterns find nothing; other numbers are not."""
 
     def card(i):
         d = f"4{i:014d}"
@@ -203,9 +203,11 @@ def test_bootstrap_finds_unseen_identifiers(spark):
 
     rows = [(i, f"the card {card(i)} expires soon") for i in range(40)]
     wrong = card(77)[:-1] + str((int(card(77)[-1]) + 1) % 10)
-    rows += [(100, f"my card {wrong} was lost"), (101, f"part number {wrong[::-1]} of 20"), (102, "version 123456 of it")]
+    rows += [(100, f"my card {wrong} was lost"), (101, f"part number {wrong[:12]} of 20"), (102, "version 123456 of it")]
+    rows += [(200 + i, f"call +1 (555) 010-{i:04d} now") for i in range(40)] + [(300, f"so +1 (555) 010-7777 {card(88)} it is")]
     got = {r.doc_id: r.spans for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string"), spark).collect()}
     assert got[100] == "card:8:24" and not got[101] and not got[102] and all(got[i] for i in range(40))
+    assert got[300] == "card:21:37,phone:3:20"
 
 
 def test_redaction(spark, odd):
