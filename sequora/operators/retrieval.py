@@ -48,7 +48,23 @@ def _vectors(col: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(col.combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(n, -1)
 
 
-def _block_topk(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def inner_products(asked: np.ndarray, items: np.ndarray) -> np.ndarray:
+    return np.stack([(items * x).sum(1) for x in asked]) if len(items) <= 64 else asked @ items.T
+
+
+def mixture_of_products(asked: np.ndarray, items: np.ndarray, parts: int) -> np.ndarray:
+    """Vectors are `parts` gate logits and then as many components; the score is the components' inner products, weighted by
+    the softmax of the summed logits of both sides."""
+    gates = asked[:, None, :parts] + items[None, :, :parts]
+    gates = np.exp(gates - gates.max(2, keepdims=True))
+    q, x = (v[:, parts:].reshape(len(v), parts, -1) for v in (asked, items))
+    return (np.einsum("qpd,xpd->qxp", q, x) * gates).sum(2) / gates.sum(2)
+
+
+def _block_topk(batches: Iterator[pa.RecordBatch], k: int, scorer: Scorer = inner_products) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     last = None
 
@@ -63,7 +79,7 @@ def _block_topk(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
         items, ids = _vectors(c["v"])[order], ids[order]
         for i in range(0, q.num_rows, 256):
             asked = _vectors(q["v"].slice(i, 256))
-            s = np.stack([(items * x).sum(1) for x in asked]) if len(ids) <= 64 else asked @ items.T
+            s = scorer(asked, items)
             take = np.argsort(-s, 1, kind="stable")[:, : min(k, len(ids))]
             score = np.take_along_axis(s, take, 1)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q["id"].slice(i, 256).to_numpy(), take.shape[1])), pa.array(ids[take].ravel()), pa.array(score.ravel())], ["query_id", "item_id", "score"])
@@ -83,7 +99,7 @@ def _block_topk(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
         yield from best(held)
 
 
-def mips_topk(queries: DataFrame, items: DataFrame, k: int, blocks: int = 16, chunks: int = 1) -> DataFrame:
+def mips_topk(queries: DataFrame, items: DataFrame, k: int, blocks: int = 16, chunks: int = 1, scorer: Scorer = inner_products) -> DataFrame:
     """(query_id, item_id, score, rank): the k items of largest inner product for each query, ties to the smaller id.
 
     queries (id, v) and items (id, v).  Items are dealt to blocks and queries to chunks by hash; each block and chunk meet in one
@@ -94,10 +110,15 @@ def mips_topk(queries: DataFrame, items: DataFrame, k: int, blocks: int = 16, ch
     vec = F.col("v").cast("array<double>").alias("v")
     dealt = items.select(place(1, blocks).alias("block"), each(chunks).alias("chunk"), F.lit(False).alias("asks"), F.col("id").cast("long").alias("id"), vec)
     dealt = dealt.unionByName(queries.select(each(blocks).alias("block"), place(2, chunks).alias("chunk"), F.lit(True).alias("asks"), F.col("id").cast("long").alias("id"), vec))
-    parts = dealt.repartition(blocks * chunks, "block", "chunk").sortWithinPartitions("block", "chunk").mapInArrow(partial(_block_topk, k=k), "query_id long, item_id long, score double")
+    parts = dealt.repartition(blocks * chunks, "block", "chunk").sortWithinPartitions("block", "chunk").mapInArrow(partial(_block_topk, k=k, scorer=scorer), "query_id long, item_id long, score double")
     return top(parts, k)
 
 
+def mixture_topk(queries: DataFrame, items: DataFrame, k: int, parts: int, blocks: int = 16, chunks: int = 1) -> DataFrame:
+    """As mips_topk by a mixture of products: v holds `parts` gate logits and then as many components of one length."""
+    return mips_topk(queries, items, k, blocks, chunks, partial(mixture_of_products, parts=parts))
+
+
 def top(scored: DataFrame, k: int) -> DataFrame:
     """The k best of each query_id with their rank."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
@@ -120,7 +141,7 @@ def exclude(scored: DataFrame, seen: DataFrame) -> DataFrame:
     return scored.join(seen.select("query_id", "item_id").distinct(), ["query_id", "item_id"], "left_anti")
 
 
-METHODS: dict[str, Callable[..., DataFrame]] = {"brute_force": mips_topk, "sharded": sharded_topk}
+METHODS: dict[str, Callable[..., DataFrame]] = {"brute_force": mips_topk, "sharded": sharded_topk, "mixture": mixture_topk}
 
 
 def topk(method: str, *args: object, **options: object) -> DataFrame:

@@ -45,15 +45,30 @@ def owned(df: DataFrame, place: str, workers: int, worker: int) -> DataFrame:
     return df.where(F.pmod(F.col(place), F.lit(workers)) == worker)
 
 
+def offsets(parts: DataFrame, order: str, rows: str) -> DataFrame:
+    """parts with the number of rows in all parts before each."""
+    w = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn("first_row", F.coalesce(F.sum(rows).over(w), F.lit(0)))
+
+
 def rotated_shard(epoch: Column, shards: int) -> Column:
     return F.pmod(epoch, F.lit(shards))
 
 
-def indexed(pool: DataFrame, item: str, by: list[str] | None = None) -> DataFrame:
-    """pool with `idx` (from 0, by item) and `n` for each value of `by`."""
+def indexed(pool: DataFrame, item: str, by: list[str] | None = None, width: int = 1 << 16) -> DataFrame:
+    """Distinct whole-number items with `idx` (from 0, in order) and `n` for each value of `by`.
+
+    Items are numbered within buckets of consecutive ids, and each bucket begins after those before it; only bucket sizes
+    (ids / width rows) meet in one place, so a pool of any size is numbered in parallel.
+    """
     by = by or []
+    items = pool.select(*by, item).distinct().withColumn("_b", F.floor(F.col(item) / width))
+    sizes = items.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
     part = Window.partitionBy(*(by or [F.lit(0)]))
-    return pool.select(*by, item).distinct().withColumn("idx", F.row_number().over(part.orderBy(item)) - 1).withColumn("n", F.count("*").over(part))
+    before = F.coalesce(F.sum("_n").over(part.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*by, "_b", before.alias("_before"), F.sum("_n").over(part).alias("n"))
+    own = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(item))
+    return items.join(starts, [*by, "_b"]).withColumn("idx", own - 1 + F.col("_before")).select(*by, item, "idx", "n")
 
 
 def uniform_negatives(positives: DataFrame, keys: list[str], pool: DataFrame, item: str, k: int, seed: int, by: list[str] | None = None) -> DataFrame:
@@ -66,7 +81,7 @@ def uniform_negatives(positives: DataFrame, keys: list[str], pool: DataFrame, it
     sizes = at.groupBy(*by).agg(F.max("n").alias("n"))
     marked = positives.join(sizes, by) if by else positives.crossJoin(F.broadcast(sizes))  # without `by` one row: the pool's size
     rows = marked.select(*keys, *[b for b in by if b not in keys], "n", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))
-    rows = rows.withColumn("idx", F.pmod(hash60(seed, *(F.col(x) for x in keys), F.col("j")), F.col("n")).cast("int")).drop("n")
+    rows = rows.withColumn("idx", F.pmod(hash60(seed, *(F.col(x) for x in keys), F.col("j")), F.col("n"))).drop("n")
     return rows.join(at.select(*by, "idx", F.col(item).alias("negative")), [*by, "idx"]).select(*keys, "j", "negative")
 
 

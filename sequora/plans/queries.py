@@ -58,6 +58,27 @@ def unix_seconds(s: SparkSession, d: str) -> DataFrame:
     return events(s, d).select("event_id", "t")
 
 
+@query(f"WITH {EV} SELECT event_id, type_id > 0 AND t > 0 AS valid, id <> 0 AS supervised FROM ev")
+def validity_mask(s: SparkSession, d: str) -> DataFrame:
+    return events(s, d).select("event_id", _valid().alias("valid"), (F.col("id") != 0).alias("supervised"))
+
+
+@query(f"SELECT event_id, {h60("'user'", 'user_id', 'event_id')} AS row_key FROM events")
+def stable_row_key(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "events").select("event_id", X.hash60("user", F.col("user_id"), F.col("event_id")).alias("row_key"))
+
+
+@query("SELECT event_id, NULL::VARCHAR AS demand_type, value FROM events")
+def optional_columns(s: SparkSession, d: str) -> DataFrame:
+    df = clean.with_optional(clean.with_optional(read(s, d, "events"), "demand_type", "string"), "value", "double")
+    return df.select("event_id", "demand_type", "value")
+
+
+@query("WITH p AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) SELECT user_id, n, coalesce(sum(n) OVER (ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_row FROM p")
+def part_offsets(s: SparkSession, d: str) -> DataFrame:
+    return sampling.offsets(read(s, d, "events").groupBy("user_id").agg(F.count("*").alias("n")), "user_id", "n")
+
+
 @query(f"WITH {EV}, n AS (SELECT user_id, id, row_number() OVER ({USER}) - 1 AS pos FROM ev) SELECT user_id, pos, id FROM n")
 def explode_sequences(s: SparkSession, d: str) -> DataFrame:
     rows = sequences.collect(events(s, d), "user_id", ORDER, ["id"])
@@ -842,6 +863,18 @@ def dense_shard(s: SparkSession, d: str) -> DataFrame:
     return retrieval.dense(held, "shard", "row_id", "embedding", 64, 16).select("shard", "row_id", r6(F.get("embedding", F.lit(0)).cast("double")).alias("first_value"))
 
 
+@query(
+    """WITH q AS (SELECT min(vec_id) AS query_id FROM embeddings GROUP BY label), e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+pair AS (SELECT q.query_id, c.vec_id AS item_id, list_transform(range(1, 5), lambda p: exp(a.v[p] + c.v[p])) AS g,
+  list_transform(range(1, 5), lambda p: list_inner_product(a.v[5 + (p - 1) * 15:4 + p * 15], c.v[5 + (p - 1) * 15:4 + p * 15])) AS dots FROM q JOIN e a ON a.vec_id = q.query_id, e c),
+sc AS (SELECT query_id, item_id, list_inner_product(g, dots) / list_sum(g) AS score FROM pair), r AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM sc)
+SELECT query_id, item_id, rank::INT AS rank FROM r WHERE rank <= 30"""
+)
+def mixture_topk(s: SparkSession, d: str) -> DataFrame:
+    queries, items = _asked(s, d)
+    return retrieval.topk("mixture", queries, items, 30, 4).select("query_id", "item_id", "rank")
+
+
 @query("SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN -label ELSE label END AS label FROM embeddings")
 def partial_shard_merge(s: SparkSession, d: str) -> DataFrame:
     old = read(s, d, "embeddings").select("vec_id", "label")

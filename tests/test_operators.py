@@ -182,6 +182,21 @@ def test_topk_blocks(spark):
         retrieval.topk("magic")
 
 
+def test_mixture_of_products(spark):
+    """Equal gates make it the mean of the components' products."""
+    items = spark.range(50).select("id", F.array(F.lit(1.0), F.lit(1.0), F.sin("id"), F.cos("id"), F.sin(F.col("id") * 2), (F.col("id") % 3).cast("double")).alias("v"))
+    got = retrieval.mixture_topk(items.where("id = 3"), items, 4, 2).orderBy("rank").collect()
+    v = {i: (math.sin(i), math.cos(i), math.sin(2 * i), float(i % 3)) for i in range(50)}
+    want = sorted(range(50), key=lambda i: -sum(a * b for a, b in zip(v[3], v[i], strict=True)))[:4]
+    assert [r.item_id for r in got] == want and got[0].score == pytest.approx(sum(a * b for a, b in zip(v[3], v[want[0]], strict=True)) / 2)
+
+
+def test_pool_index_is_dense_over_buckets(spark):
+    pool = spark.createDataFrame([(i * 977,) for i in range(300)] + [(977,)], "item long")
+    rows = sampling.indexed(pool, "item", width=1000).orderBy("idx").collect()
+    assert [(r.item, r.idx, r.n) for r in rows] == [(i * 977, i, 300) for i in range(300)]
+
+
 def test_monitor(spark):
     p = spark.createDataFrame([("r", b, v) for b, v in ((1000, 0.2), (2000, 0.1), (3000, 0.3), (4000, 0.3))], "run string, batch long, v double")
     assert [(r.best, r.best_at) for r in monitor.best_so_far(p, "run", "batch", "v").orderBy("batch").collect()] == [(0.2, 1000), (0.2, 1000), (0.3, 3000), (0.3, 3000)]
