@@ -43,16 +43,11 @@ def latest(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return top.select(*keys, *(F.col(f"_r.{f}").alias(f) for f in fields))
 
 
-def _vectors(col: pa.ChunkedArray) -> np.ndarray:
-    n = len(col)
-    return np.asarray(col.combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(n, -1)
-
-
 Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def inner_products(asked: np.ndarray, items: np.ndarray) -> np.ndarray:
-    return np.stack([(items * x).sum(1) for x in asked]) if len(items) <= 64 else asked @ items.T
+    return asked @ items.T
 
 
 def mixture_of_products(asked: np.ndarray, items: np.ndarray, parts: int) -> np.ndarray:
@@ -64,53 +59,83 @@ def mixture_of_products(asked: np.ndarray, items: np.ndarray, parts: int) -> np.
     return (np.einsum("qpd,xpd->qxp", q, x) * gates).sum(2) / gates.sum(2)
 
 
-def _block_topk(batches: Iterator[pa.RecordBatch], k: int, scorer: Scorer = inner_products) -> Iterator[pa.RecordBatch]:
-    held: list[pa.RecordBatch] = []
-    last = None
-
-    def best(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(parts)
-        asks = rows["asks"].to_numpy()
-        q, c = rows.filter(pa.array(asks)), rows.filter(pa.array(~asks))
-        if not q.num_rows or not c.num_rows:
-            return
-        ids = c["id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        items, ids = _vectors(c["v"])[order], ids[order]
-        for i in range(0, q.num_rows, 256):
-            asked = _vectors(q["v"].slice(i, 256))
-            s = scorer(asked, items)
-            take = np.argsort(-s, 1, kind="stable")[:, : min(k, len(ids))]
-            score = np.take_along_axis(s, take, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q["id"].slice(i, 256).to_numpy(), take.shape[1])), pa.array(ids[take].ravel()), pa.array(score.ravel())], ["query_id", "item_id", "score"])
+class _Best:
+    """The k best items of a chunk's queries so far; items come batch by batch, so a block of any size fits."""
+
+    def __init__(self, k: int, scorer: Scorer) -> None:
+        self.k, self.scorer = k, scorer
+        self.ids: list[np.ndarray] = []
+        self.vectors: list[np.ndarray] = []
+        self.asked: np.ndarray | None = None
+
+    def ask(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.ids.append(ids)
+        self.vectors.append(vectors)
+
+    def offer(self, ids: np.ndarray, items: np.ndarray) -> None:
+        if self.asked is None:
+            if not self.vectors:
+                return
+            self.asked = np.concatenate(self.vectors)
+            self.q, self.item, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            self.least = np.full(len(self.asked), -np.inf)
+        for i in range(0, len(self.asked), 256):
+            part = self.asked[i : i + 256]
+            s = self.scorer(part, items)
+            q, c = np.nonzero(s >= self.least[i : i + 256, None] - 1e-9)
+            if self.scorer is inner_products:  # one order of summation, so that equal vectors have equal scores
+                score = (part[q] * items[c]).sum(1) if len(q) <= 1 << 20 else s[q, c]
+            else:
+                score = s[q, c]
+            self.q, self.item, self.score = np.concatenate([self.q, q + i]), np.concatenate([self.item, ids[c]]), np.concatenate([self.score, score])
+        order = np.lexsort((self.item, -self.score, self.q))
+        q = self.q[order]
+        first = np.searchsorted(q, q, "left")
+        order = order[np.arange(len(q)) - first < self.k]
+        self.q, self.item, self.score = self.q[order], self.item[order], self.score[order]
+        full = np.bincount(self.q, minlength=len(self.least)) == self.k
+        lowest = np.full(len(self.least), np.inf)
+        np.minimum.at(lowest, self.q, self.score)
+        self.least = np.where(full, lowest, -np.inf)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.asked is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(self.ids)[self.q]), pa.array(self.item), pa.array(self.score)], ["query_id", "item_id", "score"])
 
+
+def _block_topk(batches: Iterator[pa.RecordBatch], k: int, scorer: Scorer = inner_products) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (block, chunk), the queries of each before its items."""
+    best, last = None, None
     for batch in batches:
-        keys = list(zip(batch.column("block").to_pylist(), batch.column("chunk").to_pylist(), strict=True))
-        begin = 0
-        for i, key in enumerate(keys):
-            if key != last:
-                if i > begin:
-                    held.append(batch.slice(begin, i - begin))
-                if held:
-                    yield from best(held)
-                held, begin, last = [], i, key
-        held.append(batch.slice(begin))
-    if held:
-        yield from best(held)
+        block, chunk, asks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "chunk", "asks"))
+        cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(chunk) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(block)], strict=True):
+            if a == b:
+                continue
+            if (block[a], chunk[a]) != last:
+                if best is not None:
+                    yield from best.rows()
+                best, last = _Best(k, scorer), (block[a], chunk[a])
+            part = batch.slice(a, b - a)
+            vectors = np.asarray(part.column("v").flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b - a, -1)
+            (best.ask if asks[a] else best.offer)(part.column("id").to_numpy(), vectors)
+    if best is not None:
+        yield from best.rows()
 
 
 def mips_topk(queries: DataFrame, items: DataFrame, k: int, blocks: int = 16, chunks: int = 1, scorer: Scorer = inner_products) -> DataFrame:
     """(query_id, item_id, score, rank): the k items of largest inner product for each query, ties to the smaller id.
 
     queries (id, v) and items (id, v).  Items are dealt to blocks and queries to chunks by hash; each block and chunk meet in one
-    task as a matrix product and give k rows for each query, which are merged.  Nothing is broadcast.
+    task, which holds the chunk's queries and streams the block's items through matrix products, keeping k rows for each query.
+    Those are merged.  Nothing is broadcast.
     """
     place = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     vec = F.col("v").cast("array<double>").alias("v")
     dealt = items.select(place(1, blocks).alias("block"), each(chunks).alias("chunk"), F.lit(False).alias("asks"), F.col("id").cast("long").alias("id"), vec)
     dealt = dealt.unionByName(queries.select(each(blocks).alias("block"), place(2, chunks).alias("chunk"), F.lit(True).alias("asks"), F.col("id").cast("long").alias("id"), vec))
-    parts = dealt.repartition(blocks * chunks, "block", "chunk").sortWithinPartitions("block", "chunk").mapInArrow(partial(_block_topk, k=k, scorer=scorer), "query_id long, item_id long, score double")
+    parts = dealt.repartition(blocks * chunks, "block", "chunk").sortWithinPartitions("block", "chunk", F.desc("asks")).mapInArrow(partial(_block_topk, k=k, scorer=scorer), "query_id long, item_id long, score double")
     return top(parts, k)
 
 
@@ -132,7 +157,7 @@ def sharded_topk(queries: DataFrame, items: DataFrame, shard: str, k: int) -> Da
     dealt = items.select(number.alias("block"), F.lit(0).alias("chunk"), F.lit(False).alias("asks"), F.col("id").cast("long").alias("id"), vec)
     shards = items.select(number.alias("block")).distinct()
     asked = queries.crossJoin(F.broadcast(shards)).select("block", F.lit(0).alias("chunk"), F.lit(True).alias("asks"), F.col("id").cast("long").alias("id"), vec)  # a few shard numbers
-    parts = dealt.unionByName(asked).repartition("block", "chunk").sortWithinPartitions("block", "chunk").mapInArrow(partial(_block_topk, k=k), "query_id long, item_id long, score double")
+    parts = dealt.unionByName(asked).repartition("block", "chunk").sortWithinPartitions("block", "chunk", F.desc("asks")).mapInArrow(partial(_block_topk, k=k), "query_id long, item_id long, score double")
     return top(parts, k)
 
 
