@@ -176,10 +176,10 @@ def extract(docs: DataFrame, spark: SparkSession, rounds: int = 3, support: int
     for _ in range(rounds):
         met = edges.select("context", "id", "kind").join(known.withColumnRenamed("id", "id_"), F.col("id") == F.col("id_"), "left")
         by_kind = met.groupBy("context", "k").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("w"), F.count("*").alias("n"), F.count_if(F.col("kind") >= 0).alias("s"))
-        contexts = by_kind.groupBy("context").agg(F.max_by("k", "w").alias("k"), F.max("w").alias("w"), F.sum("n").alias("n"), F.max_by("s", "w").alias("s"))
-        contexts = contexts.select("context", "k", (F.col("w") / (F.col("n") + 1)).alias("c"), "s").where((F.col("s") >= support) & (F.col("c") >= confident))
+        contexts = by_kind.groupBy("context").agg(F.max(F.struct("w", "k", "s")).alias("top"), F.sum("n").alias("n"))
+        contexts = contexts.select("context", "top.k", (F.col("top.w") / (F.col("n") + 1)).alias("c"), "top.s").where((F.col("s") >= support) & (F.col("c") >= confident))
         reached = edges.where("kind < 0").join(contexts.select(F.col("context").alias("c_"), "k", "c"), F.col("context") == F.col("c_"))
-        reached = reached.groupBy("id").agg(F.max_by("k", "c").alias("k"), (1 - F.exp(F.sum(F.log(1 - F.least("c", F.lit(0.99)))))).alias("score")).where(F.col("score") >= confident)
+        reached = reached.groupBy("id").agg(F.max(F.struct("c", "k"))["k"].alias("k"), (1 - F.exp(F.sum(F.log(1 - F.least("c", F.lit(0.99)))))).alias("score")).where(F.col("score") >= confident)
         known = materialise(seeds.unionByName(reached.join(seeds.select("id"), "id", "left_anti")), spark)
     added = occ.where("kind < 0").join(known.select(F.col("id").alias("id_"), "k"), F.col("id") == F.col("id_")).select("key", F.col("k").alias("kind"), "start", "end")
     added = added.groupBy("key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added")).withColumnRenamed("key", "key_")
