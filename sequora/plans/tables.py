@@ -17,10 +17,15 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with k (from props), t (unix seconds), type_id, grp, domain, id (encoded), text, positive."""
     e = read(spark, sf_dir, "events")
     kind = F.col("event_type")
-    e = e.withColumns({"k": F.get_json_object("props", "$.k").cast("long"), "t": F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"), "type_id": STREAM.type_id(kind), "grp": STREAM.group(kind), "domain": STREAM.domain(kind)})
+    e = e.withColumns({"k": F.get_json_object("props", "$.k").cast("long"), "t": seconds(F.col("ts")), "type_id": STREAM.type_id(kind), "grp": STREAM.group(kind), "domain": STREAM.domain(kind)})
     return e.withColumns({"id": F.col("domain").cast("long") * OFFSET + F.col("k") + 20, "text": F.concat_ws(" ", kind, F.col("k").cast("string")), "positive": STREAM.positive(kind)})
 
 
+def seconds(ts: Column) -> Column:
+    """Unix seconds of a time without zone, whatever the session's zone."""
+    return F.unix_date(ts.cast("date")).cast("long") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
 def rank_of(event_id: Column) -> Column:
     """Ranks for reports: 0 (not found) to 300."""
     return F.when(event_id % 10 == 0, 0).otherwise((event_id * 7919) % 300 + 1)
