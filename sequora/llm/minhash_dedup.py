@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sequora.llm import kernel as K
-from sequora.llm.runtime import connected_components, fresh, grouped, materialise, ship
+from sequora.llm.runtime import connected_components, fresh, grouped, materialise, rooted, ship
 
 BANDS, ROWS, BITS = 42, 6, 4
 BLOCK_ROWS = 3000
@@ -205,7 +205,9 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, shingle: int = 5, perc
     j = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = texts.select("group", "doc_id", "text", "bits", "f1", "block", j).select("group", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "doc_id", "block", "text", "bits", "f1")
     checked = dealt.repartition("group", "p", "q").sortWithinPartitions("group", "p", "q").mapInArrow(partial(_confirm, k=shingle, percent=percent, margin=margin), "a long, b long")
-    found = connected_components(checked, spark)
+    checked = materialise(checked, spark)
+    # groups of one block have their components already; blocks of a larger group are put together
+    found = connected_components(checked, spark) if counts.where("blocks > 1").take(1) else rooted(checked)
     by_class = classes.join(found, F.col("rep") == F.col("id"), "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("c"))
     # rows that share an id share a component, so classes meet there too; ids are unique in ordinary tables
     out = signed.join(by_class.select(*(F.col(x).alias(f"{x}_") for x in ("n", "f1", "f2")), "c"), (F.col("n") == F.col("n_")) & (F.col("f1") == F.col("f1_")) & (F.col("f2") == F.col("f2_")), "left")

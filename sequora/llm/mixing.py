@@ -58,7 +58,7 @@ def targets(sized: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tup
     return by.select("source", "k", "rows_", "source_size", F.when(F.col("capped_"), cap * F.col("source_size")).otherwise(F.col("w_") * level).alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 17, block: int = 64, shard_rows: int = 1 << 16, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, payload: bool = False) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 17, block: int = 64, shard_rows: int = 1 << 13, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, payload: bool = False) -> DataFrame:
     """Per row of docs (doc_id, text, source, any others): doc_id, size, source_size, target, taken; with `payload` also
     from_ and upto_ (the words, from 0, that are taken once more than the rest) and row (all of the row's columns).
 
@@ -128,7 +128,7 @@ s10 AS (SELECT *, seats - sum(sure) OVER () AS open, i FROM (SELECT *, unnest(ra
 sopen AS (SELECT max(seats) - sum(sure) AS open FROM s9),
 s11 AS (SELECT *, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, k, i) AS r FROM s10),
 q AS (SELECT k, source, n, source_size, target, max(sure) + sum(CASE WHEN r <= (SELECT open FROM sopen) AND target > 0 THEN 1 ELSE 0 END) AS seats FROM s11 GROUP BY ALL),
-d AS (SELECT z.*, q.k, q.source_size, q.target, q.seats::BIGINT AS seats, ('0x' || substr(h, 1, 7))::BIGINT % ceil(q.n / 65536)::BIGINT AS shard
+d AS (SELECT z.*, q.k, q.source_size, q.target, q.seats::BIGINT AS seats, ('0x' || substr(h, 1, 7))::BIGINT % ceil(q.n / 8192)::BIGINT AS shard
   FROM sized z JOIN q ON z.source IS NOT DISTINCT FROM q.source),
 h1 AS (SELECT k, shard, seats, sum(size)::BIGINT AS shard_size FROM d GROUP BY ALL),
 h2 AS (SELECT *, sum(shard_size) OVER (PARTITION BY k) AS sizes, count(*) OVER (PARTITION BY k) AS claims FROM h1),

@@ -122,17 +122,19 @@ def connected_components(edges: DataFrame, spark: SparkSession, settle: Callable
         both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
         # large star: larger neighbours of u go to the smallest of u and its neighbours
         large = star(both, "b > a").select(b.alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        large = settle(large, spark)
-        # small star: u and its smaller neighbours go to the smallest of them
+        # small star: u and its smaller neighbours go to the smallest of them; both branches read one shuffle of the large star
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low.withColumnRenamed("a", "u"), large.a == F.col("u"))
+        small = large.join(low.withColumnRenamed("a", "u"), a == F.col("u"))
         small = small.select(b.alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a > b").distinct()
-        small = settle(small, spark)
-        # done when every id has one parent that has none, as after a step that changes nothing
-        ids, parents = small.select("a"), small.select(b.alias("a")).distinct()
-        counts = small.agg(F.count("*").alias("n"), F.count_distinct("a").alias("u")).first()
-        done = counts.n == counts.u and not ids.join(parents, "a", "left_semi").take(1)
-        now = small
-        if done:
-            roots = now.select(b.alias("id")).distinct().select("id", F.col("id").alias("component"))
-            return now.select(a.alias("id"), b.alias("component")).unionByName(roots)
+        now = settle(small, spark)
+        # done when every id has one parent that has none
+        ends = now.select(F.inline(F.array(F.struct(a.alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(b.alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))))
+        ends = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not ends.agg(F.coalesce(F.max((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0)), F.lit(False)).alias("more")).first()["more"]:
+            return rooted(now)
+
+
+def rooted(parents: DataFrame) -> DataFrame:
+    """(id, component) of links (a, b) where every a has one b and no b is an a."""
+    roots = parents.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
+    return parents.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
