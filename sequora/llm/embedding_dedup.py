@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sequora.llm.runtime import connected_components, grouped, materialise, ship
+from sequora.llm.runtime import connected_components, grouped, lean, materialise, ship
 from sequora.llm.vectors import common_length, packed, unpacked
 
 HOME_ROWS, ALL_ROWS = 2000, 8000
@@ -94,6 +94,7 @@ def block_links(a: np.ndarray, b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarr
     return np.rint(links_a).astype(np.int64), np.rint(links_b).astype(np.int64), ids, ids[label]
 
 
+@lean
 def _compare(batches: Iterator[pa.RecordBatch], length: int, threshold: float) -> Iterator[pa.RecordBatch]:
     for rows in grouped(batches, ["cell", "p", "q"]):
         rows = rows.combine_chunks()

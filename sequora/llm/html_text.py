@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sequora.llm.runtime import ship
+from sequora.llm.runtime import lean, ship
 
 #: Frequent function words of four languages (fixed values).
 STOP_WORDS = frozenset(
@@ -182,6 +182,7 @@ def main_text(page: str, short: int = 70, long: int = 200, links: float = 0.4, s
     return "\n".join(keep)
 
 
+@lean
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [main_text(p) if p else "" for p in batch.column("html").to_pylist()]

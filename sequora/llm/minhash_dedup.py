@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sequora.llm import kernel as K
-from sequora.llm.runtime import connected_components, fresh, grouped, materialise, rooted, ship
+from sequora.llm.runtime import connected_components, fresh, grouped, lean, materialise, rooted, ship
 
 BANDS, ROWS, BITS = 42, 6, 4
 BLOCK_ROWS = 3000
@@ -78,6 +78,7 @@ def packed(m: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(v[:, ::2] | v[:, 1::2] << 4).view(np.uint64)
 
 
+@lean
 def _sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = K.string_buffers(batch.column("text"))
@@ -151,6 +152,7 @@ def linked(bits: np.ndarray, n: np.ndarray, sets: list[np.ndarray], left: np.nda
     return found
 
 
+@lean
 def _confirm(batches: Iterator[pa.RecordBatch], k: int, percent: int, margin: float) -> Iterator[pa.RecordBatch]:
     out_a, out_b = [], []
     for rows in grouped(batches, ["group", "p", "q"]):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sequora.llm.runtime import grouped, materialise, ship
+from sequora.llm.runtime import grouped, lean, materialise, ship
 from sequora.llm.vectors import common_length, packed, unpacked
 
 HASHES = 96
@@ -110,6 +110,7 @@ def _longest(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array([float(np.linalg.norm(unpacked(batch.column("e"), length), axis=1).max())])], ["longest"])
 
 
+@lean
 def _search(batches: Iterator[pa.RecordBatch], length: int, longest: float, k: int) -> Iterator[pa.RecordBatch]:
     for rows in grouped(batches, ["block", "chunk"]):
         rows = rows.combine_chunks()

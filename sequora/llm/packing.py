@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sequora.llm import kernel as K
-from sequora.llm.runtime import grouped, materialise, ship
+from sequora.llm.runtime import grouped, lean, materialise, ship
 
 SIZE = 2048
 _MARK = "\x07"
@@ -44,7 +44,7 @@ class Encoder:
     letters and a sign after it are words of their own to it, so such a chunk is its lower-case word's ids and the sign's id.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -169,6 +169,7 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
+@lean
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, after: int) -> Iterator[pa.RecordBatch]:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
@@ -276,6 +277,7 @@ def evolve(sizes: np.ndarray, capacity: int, seed: int, islands: int = 2, popula
 _OUT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, loose boolean"
 
 
+@lean
 def _pack(batches: Iterator[pa.RecordBatch], size: int, keep: float, islands: int, epochs: int, generations: int) -> Iterator[pa.RecordBatch]:
     for rows in grouped(batches, ["shard"]):
         rows = rows.combine_chunks()

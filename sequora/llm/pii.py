@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sequora.llm import kernel as K
-from sequora.llm.runtime import materialise, ship
+from sequora.llm.runtime import lean, materialise, ship
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -135,6 +135,7 @@ _FIELDS = ("kind", "start", "end", "id", "before", "after", "within")
 _TYPE = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("id", pa.int64()), ("before", pa.int64()), ("after", pa.int64()), ("within", pa.int64())])
 
 
+@lean
 def _scan(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = K.string_buffers(batch.column("text"))
@@ -197,6 +198,7 @@ def digest(docs: DataFrame, spark: SparkSession, **options: object) -> DataFrame
     return got.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.array_join(F.transform("found", one), ",").alias("spans"))
 
 
+@lean
 def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []

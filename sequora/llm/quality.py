@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sequora.llm import kernel as K
-from sequora.llm.runtime import ship
+from sequora.llm.runtime import lean, ship
 
 FEATURES = (
     "log_words", "word_bytes", "upper", "digits", "marks", "exclaims", "bars", "stops", "other_signs", "lines", "same_as_before",
@@ -201,6 +201,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+@lean
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = K.string_buffers(batch.column("text"))
@@ -223,6 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, spark: SparkSession, sample: int =
     return fit(x[order], y[order], **options)
 
 
+@lean
 def _score(batches: Iterator[pa.RecordBatch], model: Model, cut: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = K.string_buffers(batch.column("text"))
@@ -251,6 +253,7 @@ def keep_good(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
     """docs without the rows that score less than `cut`."""
     names = docs.columns
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.string_buffers(batch.column(names.index("text")))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sequora.llm.runtime import shared_folder, ship
+from sequora.llm.runtime import lean, shared_folder, ship
 
 #: The WARC 1.1 profile for revisits by identical payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -114,6 +114,7 @@ def _inflated(data: memoryview, step: int = 1 << 20) -> Iterator[bytes]:
         data = data[at:]
 
 
+@lean
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id", "refers_to_record"]
     for batch in batches:
