@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sequora.llm import kernel as K
-from sequora.llm.runtime import materialise, ship
+from sequora.llm.runtime import lean, materialise, ship
 
 WINDOW, GRAM = 35, 8
 
@@ -62,6 +62,7 @@ def anchors(h: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[n
     return row[begin], begin, count, g[at[begin]], span
 
 
+@lean
 def _seeds(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = K.string_buffers(batch.column("text"))
@@ -79,6 +80,7 @@ def _lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum(lens)]), col.flatten()
 
 
+@lean
 def _open(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Each listed span as its windows."""
     for batch in batches:
@@ -102,6 +104,7 @@ def _open(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
             )
 
 
+@lean
 def _remove(batches: Iterator[pa.RecordBatch], window: int, text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = K.string_buffers(batch.column("text"))
@@ -144,7 +147,8 @@ def repeated_windows(docs: DataFrame, spark: SparkSession, window: int = WINDOW,
     spans = materialise(spans.select("anchor", "span", (F.col("t") == 1).alias("single"), "o.*"), spark)
     lists = spans.groupBy("key").agg(F.collect_list(F.struct("anchor", "at", "n", "single")).alias("spans"))
     # a repeated row's spans are never single, so reading them from each of its rows only repeats evidence
-    opened = docs.select("key", "text").join(lists.withColumnRenamed("key", "key_"), F.col("key") == F.col("key_")).select("key", "text", "spans").mapInArrow(partial(_open, window=window), "anchor long, w long, key long, at int, single boolean")
+    # all of docs' columns go along, so that this shuffle of the texts is the one that the caller's join reads again
+    opened = docs.join(lists.withColumnRenamed("key", "key_"), F.col("key") == F.col("key_")).select(*docs.columns, "spans").mapInArrow(partial(_open, window=window), "anchor long, w long, key long, at int, single boolean")
     twice = opened.groupBy("anchor", "w").agg(F.count("*").alias("t")).where("t > 1").select(F.col("anchor").alias("anchor_"), F.col("w").alias("w_"))
     part = opened.where("single").join(twice, (F.col("anchor") == F.col("anchor_")) & (F.col("w") == F.col("w_"))).select("key", "at", F.lit(1).alias("n"))
     whole = mixed.join(spans.where("not single").select(F.col("anchor").alias("anchor_"), F.col("span").alias("span_")), (F.col("anchor") == F.col("anchor_")) & (F.col("span") == F.col("span_"))).select("key", "at", "n")
