@@ -4,11 +4,9 @@ Equal vectors are one class from the start (combined before the shuffle).
 Centroids are fitted on the driver from a sample of at most `sample` classes,
 those with the smallest hash; every class is assigned.  A class is at home in
 the cell of its nearest centroid, and visits each cell of smaller number whose
-boundary with its own is nearer than `reach`: two vectors at the threshold
-differ by 0.32 in all, and along any one direction, such as across a boundary,
-by much less.  A reach of sqrt(2 - 2 * threshold) can miss no pair; the default
-is 0.4 of it, three standard deviations of a difference without direction in 64
-dimensions.  Measured recall is in the README.
+boundary with its own is nearer than `reach`.  Linked vectors on either side of
+a boundary are at most sqrt(2 - 2 * threshold) apart, so neither is farther than
+that from the boundary: this reach, the default, misses no pair.
 
 A cell's home rows meet all its rows, in blocks of bounded size; blocks give
 each row's number of links and one link to its block's component, never a list
@@ -130,7 +128,7 @@ def near_duplicates(df: DataFrame, spark: SparkSession, threshold: float = 0.95,
     classes = materialise(classes, spark)
     some = classes.orderBy("h1", "h2").limit(sample).select("e").toArrow()
     n = classes.count()
-    reach = 0.4 * np.sqrt(2 - 2 * threshold) if reach is None else reach
+    reach = np.sqrt(max(2 - 2 * threshold, 0)) + 1e-6 if reach is None else reach  # more than rounding can move a row
     if n:
         x = unpacked(some["e"], length)
         centroids = spherical_kmeans(x / np.linalg.norm(x, axis=1)[:, None], int(np.clip(n // per_cell, 1, most_cells)))

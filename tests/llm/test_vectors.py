@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sequora.llm import embedding_dedup, nearest
+from sequora.llm.embedding_dedup import spherical_kmeans
 from sequora.llm.runtime import connected_components
 
 SCHEMA = "vec_id long, embedding array<float>, label int, e string, rep long, q boolean"
@@ -81,6 +82,29 @@ def test_recall_of_links_at_the_default_reach(spark):
     assert 0.97 * want <= got <= want
 
 
+def test_no_link_is_missed_by_default(spark, monkeypatch):
+    """The registered parameters, several cells, few dimensions: many linked rows lie deep on one side of a boundary."""
+    fitted = []
+    monkeypatch.setattr(embedding_dedup, "spherical_kmeans", lambda x, k: fitted.append(k) or spherical_kmeans(x, k))
+    x = np.random.default_rng(12).standard_normal((9000, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    links, label = np.zeros(len(x), int), np.arange(len(x))
+    pairs = []
+    for i in range(0, len(x), 1000):
+        s = (x[i : i + 1000] @ x.T) >= 0.95
+        s[np.arange(1000), np.arange(i, i + 1000)] = False
+        links[i : i + 1000] = s.sum(1)
+        pairs.append(np.argwhere(s) + [i, 0])
+    a, b = np.concatenate(pairs).T
+    while (label[a] != label[b]).any():
+        np.minimum.at(label, a, label[b])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted(embedding_dedup.near_duplicates(df, spark).collect())
+    assert fitted == [4] and links.sum() > 2000
+    assert [r.n_links for r in got] == links.tolist()
+    assert [r.component_id for r in got] == label.tolist()
+
+
 def brute_nearest(x, q, k):
     s = (x * x[q]).sum(1)
     s[q] = -np.inf
