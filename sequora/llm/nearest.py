@@ -1,13 +1,14 @@
 """Largest inner products by collision-counting hashing.
 
 Inner products become distances on a sphere: a vector gets one more component
-that brings it to the greatest length, a query is scaled to length one.  Each
-hash function is one random projection, kept as a sorted array of a block's
+that brings it to the greatest length in its block, a query is scaled to length
+one.  Rows are dealt to blocks by ranges of length, so that a few long rows do
+not make all others look equally far.  Each hash function is one random projection, kept as a sorted array of a block's
 rows.  For a query, a window centred at its own projection is laid on every
 array; a row in enough of the windows is a candidate and is verified by its
 inner product in double precision.  Virtual rehashing widens the windows, level
-by level, until the query's k-th best distance is within the level's radius or
-the block's share of candidates is verified, and in any case k rows.
+by level, until the query's k-th best distance is within the level's radius;
+should the last level not reach it, every row is verified.
 
 Blocks of rows meet chunks of queries, both of bounded size; a block's sorted
 arrays live in its task alone.  Each block gives its k best, which are merged.
@@ -28,10 +29,10 @@ from sequora.llm.vectors import common_length, packed, unpacked
 
 HASHES = 96
 COLLISIONS = 0.66
-SHARE = 0.08  # of a block's rows, and EXTRA rows, are verified before windows stop growing
-EXTRA = 300
 LEVELS = (1.15, 1.3, 1.45, 1.7, 2.2)
 CERTAIN = 1.1  # the k-th best distance is so far inside the level's radius when windows stop growing
+RANGES = 64  # of length, at most; their bounds are taken from at most SAMPLE rows
+SAMPLE = 20_000
 PARTS = 255  # a rank is kept as one of so many equal parts of its array
 
 
@@ -59,11 +60,11 @@ class SortedProjections:
         lo, hi = (np.rint(x * (PARTS / self.n)).astype(np.int64) for x in (lo, hi))
         return lo.astype(np.uint8), (hi - lo).astype(np.uint8)
 
-    def nearest(self, queries: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, share: float = SHARE, collisions: float = COLLISIONS) -> list[tuple[np.ndarray, np.ndarray]]:
+    def nearest(self, queries: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, collisions: float = COLLISIONS) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query: rows and inner products of the k best verified rows other than its own id."""
         lengths = np.sqrt((queries**2).sum(1))
         centres = (queries / lengths[:, None]) @ self.directions[:-1]
-        most, enough = int(k + EXTRA + share * self.n), collisions * len(self.ranks)
+        enough = collisions * len(self.ranks)
         least = np.minimum(k, self.n - np.isin(own, ids))
         rows = [np.zeros(0, np.int64)] * len(queries)
         scores = [np.zeros(0)] * len(queries)
@@ -80,8 +81,6 @@ class SortedProjections:
                 new = new[ids[new] != own[i]]
                 rows[i], scores[i] = np.append(rows[i], new), np.append(scores[i], self.x[new] @ queries[i])
                 if len(rows[i]) >= max(least[i], 1):
-                    if len(rows[i]) >= most:
-                        continue
                     kth = np.partition(scores[i], len(scores[i]) - k)[len(scores[i]) - k] if len(scores[i]) >= k else -np.inf
                     if 2 - 2 * kth / (lengths[i] * self.longest) <= (radius / CERTAIN) ** 2:
                         continue
@@ -89,11 +88,11 @@ class SortedProjections:
             active = np.array(still, np.int64)
             if not len(active):
                 break
+        for i in active.tolist():
+            rows[i] = np.flatnonzero(ids != own[i])
+            scores[i] = self.x[rows[i]] @ queries[i]
         out = []
         for i, q in enumerate(queries):
-            if len(rows[i]) < least[i]:
-                rows[i] = np.flatnonzero(ids != own[i])
-                scores[i] = self.x[rows[i]] @ q
             r, s = rows[i], scores[i]
             if len(r) > k:
                 kth = np.partition(s, len(s) - k)[len(s) - k]
@@ -104,14 +103,13 @@ class SortedProjections:
         return out
 
 
-def _longest(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _sized(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.array([float(np.linalg.norm(unpacked(batch.column("e"), length), axis=1).max())])], ["longest"])
+        yield batch.append_column("size", pa.array(np.linalg.norm(unpacked(batch.column("e"), length), axis=1)))
 
 
 @lean
-def _search(batches: Iterator[pa.RecordBatch], length: int, longest: float, k: int) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
     for rows in grouped(batches, ["block", "chunk"]):
         rows = rows.combine_chunks()
         asks = rows["asks"].to_numpy(zero_copy_only=False)
@@ -120,7 +118,7 @@ def _search(batches: Iterator[pa.RecordBatch], length: int, longest: float, k: i
             continue
         data = np.flatnonzero(~asks)
         data = data[np.argsort(ids[data], kind="stable")]
-        index = SortedProjections(x[data], longest)
+        index = SortedProjections(x[data], float(np.linalg.norm(x[data], axis=1).max()))
         ask, found = np.flatnonzero(asks), ids[data]
         out = index.nearest(x[ask], found, ids[ask], k)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[ask], [len(r) for r, _ in out])), pa.array(np.concatenate([found[r] for r, _ in out])), pa.array(np.concatenate([s for _, s in out]))], ["query_id", "vec_id", "score"])
@@ -137,15 +135,24 @@ def search(df: DataFrame, spark: SparkSession, queries: Column, k: int = 20, blo
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.coalesce(queries, F.lit(False)).alias("q"), F.col("embedding").alias("e")).where("vec_id is not null")
     length = common_length(rows, "e")
     rows = packed(rows, length, "vec_id long, q boolean, e binary").groupBy("vec_id").agg(F.min("e").alias("e"), F.max("q").alias("q"))
+    rows = rows.select("vec_id", "q", "e").mapInArrow(partial(_sized, length=length), "vec_id long, q boolean, e binary, size double")
     rows = materialise(rows, spark)
-    sizes = rows.mapInArrow(partial(_longest, length=length), "longest double").agg(F.max("longest").alias("longest"))
-    facts = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("asked")).crossJoin(sizes).first()  # one row by one row
-    blocks, chunks = max(1, -(-facts.n // block_rows * 5 // 4)), max(1, -(-facts.asked // chunk_rows))
-    part = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(n)).cast("int")
+    facts = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("asked")).first()
+    ranges, chunks = min(RANGES, max(1, -(-facts.n // block_rows * 5 // 4))), max(1, -(-facts.asked // chunk_rows))
+    part = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    data = rows.select(part(blocks, 1).alias("block"), every(chunks).alias("chunk"), F.lit(False).alias("asks"), "vec_id", "e")
-    asked = rows.where("q").select(every(blocks).alias("block"), part(chunks, 2).alias("chunk"), F.lit(True).alias("asks"), "vec_id", "e")
+    some = rows.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(SAMPLE).select("size").toArrow()["size"].to_numpy() if ranges > 1 else np.zeros(1)
+    bounds = np.unique(np.quantile(some, np.arange(1, ranges) / ranges)).tolist()
+    # a range, such as one of equal lengths, may hold more than a block: it is dealt by hash to as many as it needs
+    rows = rows.withColumn("range", sum((F.lit(b) < F.col("size")).cast("int") for b in bounds) if bounds else F.lit(0))
+    counts = {r["range"]: r["count"] for r in rows.groupBy("range").count().collect()}
+    parts = [max(1, -(-counts.get(i, 0) // block_rows)) for i in range(len(bounds) + 1)]
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("range") + 1)
+    block = of(np.cumsum([0, *parts[:-1]]).tolist()) + part(of(parts), 1)
+    blocks = sum(parts)
+    data = rows.select(block.alias("block"), every(chunks).alias("chunk"), F.lit(False).alias("asks"), "vec_id", "e")
+    asked = rows.where("q").select(every(blocks).alias("block"), part(F.lit(chunks), 2).alias("chunk"), F.lit(True).alias("asks"), "vec_id", "e")
     dealt = data.unionByName(asked).repartition(min(4096, blocks * chunks), "block", "chunk").sortWithinPartitions("block", "chunk")
-    found = dealt.mapInArrow(partial(_search, length=length, longest=float(facts.longest or 1.0), k=k), "query_id long, vec_id long, score double")
+    found = dealt.mapInArrow(partial(_search, length=length, k=k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

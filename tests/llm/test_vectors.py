@@ -134,6 +134,31 @@ def test_nearest_recall_over_blocks(spark):
     assert hits >= 0.9 * 20 * 60
 
 
+def test_nearest_beside_one_long_row(spark):
+    """One row three times as long as the rest takes nothing from the recall among the rest."""
+    rng = np.random.default_rng(15)
+    x = rng.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[7] *= 3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest.search(df, spark, F.col("vec_id") % 200 == 0).collect()
+    hits = sum(len({r.vec_id for r in got if r.query_id == q} & set(brute_nearest(x, q, 20).tolist())) for q in range(0, 20_000, 200))
+    assert hits >= 0.97 * 20 * 100
+
+
+def test_nearest_of_equal_lengths(spark):
+    """One range of lengths holds all rows; it is dealt to several blocks."""
+    x = np.random.default_rng(16).choice([-1.0, 1.0], (3000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest.search(df, spark, F.col("vec_id") % 100 == 0, block_rows=700).collect()
+    assert len(got) == 30 * 20
+    hits = 0
+    for q in range(0, 3000, 100):
+        want = (x[brute_nearest(x, q, 20)] @ x[q]).min()
+        hits += sum(r.score >= want for r in got if r.query_id == q)
+    assert hits >= 0.97 * 30 * 20
+
+
 def test_few_and_no_candidates(spark):
     df = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(4)], "vec_id long, embedding array<double>")
     got = nearest.search(df, spark, F.col("vec_id") == 0).orderBy("rank").collect()
