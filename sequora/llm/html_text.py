@@ -5,12 +5,18 @@ name, role, class or id (menus, site headers, footers, sidebars, notices,
 adverts, forms, comments, scripts, styles) are passed over; the rest falls into
 blocks at block-level tags.
 
-Pass 1 classifies each block: mostly links is bad; long with many stop words is
-good; short is undecided; in the page's article element a block is good unless
-it is mostly links, and where there is such an element, blocks outside are bad.
+Pass 1 classifies each block: mostly links is bad, but an undecided matter for a
+heading; long with many stop words is good; short is undecided.  The page's
+article (or main) elements are a prior, unless good blocks stand only outside
+them: inside, what stop words leave undecided is good and what they make bad is
+undecided; outside, good blocks that are not long are undecided and those stop
+words leave undecided are bad.
 Pass 2 lets undecided blocks inherit: between two decided neighbours of one kind
-that kind, between different ones good if the nearer is good (equally near: good
-for a heading before good text and a paragraph after it, else bad).
+that kind, but good for a run of them inside that is long in all (text of a
+language without known stop words between lists of links).  Between different ones, or with one missing, the prior decides;
+without a prior the one there is, or good if the nearer is good (equally near:
+good for a heading before good text and a paragraph after it, else bad).  A
+heading that is a link goes with the block after it.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -147,39 +154,50 @@ def blocks(page: str) -> list[tuple[str, float, str, bool]]:
 def main_text(page: str, short: int = 70, long: int = 200, links: float = 0.4, stops: tuple[float, float] = (0.15, 0.25)) -> str:
     """The text of the page's good blocks, one to a line."""
     found = blocks(page)
-    held = any(b[3] for b in found)
-    kinds: list[bool | None] = []
-    for text, linked, _, inside in found:
-        if held:
-            kinds.append(inside and (linked <= links or linked < 0.9 and len(text) >= long))
+
+    def first(text: str, linked: float, tag: str, inside: bool) -> bool | None:
+        if linked > links and not (inside and linked < 0.9 and len(text) >= long):
+            return False
+        if len(text) < short:
+            return None if not linked or inside else False
+        words = _LETTERS.findall(text.lower())
+        density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        return True if density >= stops[1] or density >= stops[0] and len(text) >= long or len(text) >= 2 * long else None if density >= stops[0] else False
+
+    kinds = [first(*b) for b in found]
+    titles = [linked > links and tag in _HEADINGS for _, linked, tag, _ in found]
+    held = any(b[3] for b in found) and (any(k and b[3] for k, b in zip(kinds, found, strict=True)) or not any(kinds))
+    for i, (text, linked, _, inside) in enumerate(found):
+        if not held or len(text) < short:
             continue
-        if linked > links:
-            kinds.append(False)
-        elif len(text) < short:
-            kinds.append(None if not linked else False)
-        else:
-            words = _LETTERS.findall(text.lower())
-            density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            kinds.append(True if density >= stops[1] or density >= stops[0] and len(text) >= long or len(text) >= 2 * long else None if density >= stops[0] else False)
-    known = [i for i, k in enumerate(kinds) if k is not None]
-    keep = []
+        if inside and (linked <= links or linked < 0.9 and len(text) >= long):
+            kinds[i] = None if kinds[i] is False else True
+        elif not inside:
+            kinds[i] = (True if len(text) >= long else None) if kinds[i] else False
+    known = [i for i, k in enumerate(kinds) if k is not None and not titles[i]]
+    chars = list(accumulate((len(b[0]) * b[3] for b in found), initial=0))
+    good_blocks = []
     at = 0
     for i, kind in enumerate(kinds):
         if kind is None:
             while at < len(known) and known[at] < i:
                 at += 1
             before, after = known[at - 1] if at else None, known[at] if at < len(known) else None
-            if before is None or after is None:
+            if before is not None and after is not None and kinds[before] == kinds[after]:
+                kind = bool(kinds[before]) or held and found[i][3] and chars[after] - chars[before + 1] >= long
+            elif held:
+                kind = found[i][3]
+            elif before is None or after is None:
                 near = before if after is None else after
                 kind = near is not None and bool(kinds[near]) and (after is not None or found[i][2] not in _HEADINGS)
-            elif kinds[before] == kinds[after]:
-                kind = bool(kinds[before])
             else:
                 good, bad = (before, after) if kinds[before] else (after, before)
                 kind = abs(good - i) < abs(bad - i) or abs(good - i) == abs(bad - i) and (found[i][2] in _HEADINGS if good == after else found[i][2] in ("p", ""))
-        if kind:
-            keep.append(found[i][0])
-    return "\n".join(keep)
+        good_blocks.append(kind)
+    for i in range(len(found) - 2, -1, -1):
+        if titles[i]:
+            good_blocks[i] = good_blocks[i + 1]
+    return "\n".join(b[0] for b, kind in zip(found, good_blocks, strict=True) if kind)
 
 
 @lean

@@ -240,6 +240,28 @@ def test_main_text(page, text):
     assert html_text.main_text(page or "") == text
 
 
+BODY = "It was the best of the times and it was the worst of the times, as it is with all of them, and we had it all before us and nothing at all."
+LINKS = "<ul><li><a href=a>Some other page of theirs</a></li><li><a href=b>And one more of them</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # articles that are only teasers; the text is outside
+        (f"<body><div><h1>Head</h1><p>{BODY}</p><p>{BODY}</p></div>" + "<article><h2><a href=x>Elsewhere</a></h2><a href=x>Read it</a></article>" * 3 + "</body>", f"Head\n{BODY}\n{BODY}"),
+        # a linked heading goes with the text after it
+        (f"<article><h1><a href=x>Head</a></h1><p>{BODY}</p>{LINKS}<h2><a href=y>Elsewhere</a></h2>{LINKS}</article>", f"Head\n{BODY}"),
+        ("<article><h1><a href=x>Head</a></h1><p>Short.</p></article>", "Head\nShort."),
+        # the rules decide inside an article as well as outside it
+        (f"<article><p>{BODY}</p>{LINKS}<p>Tags: this, that</p>{LINKS}<p>{BODY}</p></article>", f"{BODY}\n{BODY}"),
+        (f"<article>{LINKS}<p>{'slovo ' * 30}</p><p>{'drugo ' * 30}</p>{LINKS}</article>", f"{('slovo ' * 30).strip()}\n{('drugo ' * 30).strip()}"),
+        (f"<article><p>{BODY}</p></article><p>{BODY} {BODY}</p><p>All rights reserved</p>", f"{BODY}\n{BODY} {BODY}"),
+    ],
+)
+def test_articles_are_a_prior(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_html_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     extra = spark.createDataFrame([(None, None, None), (7, "u", "")], "page_id long, url string, html string")
