@@ -93,15 +93,21 @@ def domain_negatives(domains: DataFrame, pool: DataFrame, item: str, k: int, see
 def in_batch_negatives(rows: DataFrame, batch: str, place: str, seq: str, item: str, k: int, seed: int, attempts: int = 4) -> DataFrame:
     """k draws for each row from its batch, of another sequence and item: rows (batch, place, j, negative).
 
-    Draw j tries `attempts` hashed places (0-based, dense) and takes the first that fits; a draw without one gives none.
+    Draw j tries `attempts` hashed places (0-based, dense) and takes the first that fits; where none does, it takes the fitting
+    row of its batch with the smallest hash.  Only rows without any fitting row in their batch give none.
     """
     sizes = rows.groupBy(batch).agg(F.count("*").alias("_n"))
-    asks = rows.join(sizes, batch).select(batch, place, F.col(seq).alias("_s"), F.col(item).alias("_i"), "_n", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))
-    asks = asks.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
+    draws = rows.join(sizes, batch).select(batch, place, F.col(seq).alias("_s"), F.col(item).alias("_i"), "_n", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))
+    asks = draws.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
     asks = asks.withColumn("_p", F.pmod(hash60(seed, F.col(batch), F.col(place), F.col("j"), F.col("a")), F.col("_n")))
-    got = asks.join(rows.select(F.col(batch).alias("_b"), F.col(place).alias("_q"), F.col(seq).alias("_t"), F.col(item).alias("negative")), (F.col(batch) == F.col("_b")) & (F.col("_p") == F.col("_q")))
-    got = got.where((F.col("_s") != F.col("_t")) & (F.col("_i") != F.col("negative")))
-    return got.groupBy(batch, place, "j").agg(F.min_by("negative", "a").alias("negative"))
+    others = rows.select(F.col(batch).alias("_b"), F.col(place).alias("_q"), F.col(seq).alias("_t"), F.col(item).alias("negative"))
+    fits = (F.col("_s") != F.col("_t")) & (F.col("_i") != F.col("negative"))
+    got = asks.join(others, (F.col(batch) == F.col("_b")) & (F.col("_p") == F.col("_q"))).where(fits)
+    got = got.groupBy(batch, place, "j").agg(F.min_by("negative", "a").alias("negative"))
+    rest = draws.join(got.select(batch, place, "j"), [batch, place, "j"], "left_anti")
+    rest = rest.join(others, F.col(batch) == F.col("_b")).where(fits)
+    order = F.struct(hash60(seed, F.col(batch), F.col(place), F.col("j"), F.lit("rest"), F.col("_q")), F.col("_q"))
+    return got.unionByName(rest.groupBy(batch, place, "j").agg(F.min_by("negative", order).alias("negative")))
 
 
 def hybrid(in_batch: DataFrame, rotating: DataFrame, keys: list[str], k: int, ratio: float) -> DataFrame:

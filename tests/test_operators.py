@@ -171,6 +171,18 @@ def test_negatives(spark):
     assert len(drawn) > 200 and all(r.negative != r.i for r in drawn)
 
 
+def test_negatives_of_skewed_batches(spark):
+    """Every draw with a fitting row gives one, however much of the batch one sequence or item holds."""
+    p = F.col("id")
+    rows = spark.range(200).select(F.floor(p / 100).alias("b"), (p % 100).alias("p"), F.when(p % 100 < 90, 0).otherwise(p % 5).alias("s"), F.when(p < 100, p).otherwise(F.when(p < 195, 1000).otherwise(p)).alias("i"))
+    at = {(r.b, r.p): r for r in rows.collect()}
+    got = sampling.in_batch_negatives(rows, "b", "p", "s", "i", 3, 1).collect()
+    fit = {key: {o.i for o in at.values() if o.b == r.b and o.s != r.s and o.i != r.i} for key, r in at.items()}
+    assert len(got) == len({(r.b, r.p, r.j) for r in got}) == 3 * sum(map(bool, fit.values())) and all(r.negative in fit[r.b, r.p] for r in got)
+    drawn = [r.negative for r in got if r.b == 0 and at[r.b, r.p].s == 0]
+    assert len(drawn) == 276 and all(15 <= drawn.count(i) <= 60 for i in fit[0, 0])  # 34.5 each
+
+
 def test_topk_blocks(spark):
     items = spark.range(200).select("id", F.array(F.sin("id"), F.cos("id"), (F.col("id") % 3).cast("double")).alias("v"))
     got = retrieval.mips_topk(items.where("id < 7"), items, 5, blocks=3, chunks=2).collect()
