@@ -227,3 +227,21 @@ def one_of_each(docs: DataFrame, spark: SparkSession, **options: object) -> Data
     left = docs.join(gone, same == F.col("gone_"), "left_anti")
     once = Window.partitionBy(same).orderBy(F.xxhash64("text"))
     return left.withColumn(order, F.row_number().over(once)).where((F.col(order) == 1) | same.isNull()).drop(order)
+
+
+def one_of_each_row(docs: DataFrame, spark: SparkSession, **options: object) -> DataFrame:
+    """docs with one document of each component: the one of smallest doc_id, those without one last.
+
+    Rows are told apart by id and text together, so rows that share a doc_id, or have none, are compared as any others.
+    Of rows equal in both one stays; rows without doc_id and without shingles all stay.
+    """
+    key, order = fresh(docs, "key_"), fresh(docs, "again_")
+    same, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    keyed = docs.withColumn(key, F.xxhash64(same, text, same.isNull(), text.isNull()))
+    found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), spark, **options)
+    found = found.groupBy(F.col("doc_id").alias("id_")).agg(F.max("n_shingles").alias("n_"), F.min("component_id").alias("c_"))
+    ids = keyed.groupBy(F.col(key).alias("k_")).agg(F.min(same).alias("d_")).join(found, F.col("k_") == F.col("id_"))
+    first = ids.groupBy("c_").agg(F.min(F.struct(F.col("d_").isNull(), "d_", "k_", "n_")).alias("r")).select("r.k_", "r.n_")
+    left = keyed.join(first, F.col(key) == F.col("k_"))
+    once = Window.partitionBy(key).orderBy(F.lit(0))
+    return left.withColumn(order, F.row_number().over(once)).where((F.col(order) == 1) | same.isNull() & (F.col("n_") == 0)).select(*docs.columns)

@@ -6,9 +6,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from sequora.llm import html_text, kernel, minhash_dedup, mixing, packing, pii, quality, substring_dedup, warc
 
@@ -156,6 +158,20 @@ def test_one_of_each(spark, odd):
     assert sorted(d for d, _ in left if d is not None) == sorted(want) and sum(d is None for d, _ in left) == 1
 
 
+def test_distinct_documents_with_null_and_reused_ids(spark):
+    """Different texts under one doc_id stay, near-copies go whatever their ids are, the smallest id of a component is kept."""
+    a, b, c = passage(60, 3), passage(60, 5), passage(60, 7)
+    rows = [(1, a), (1, b), (1, b), (2, a + " end"), (None, a + " else"), (None, c), (None, c + " end"), (None, c), (3, None), (3, ""), (None, None), (None, None), (4, "one"), (5, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    got = corpus_pipeline.distinct_documents(spark, df, "")
+    assert got.columns == df.columns
+    got = Counter((r.doc_id, r.text) for r in got.collect())
+    held = [t for d, t in got if d is None and t]
+    assert len(held) == 1 and held[0] in (c, c + " end")
+    del got[None, held[0]]
+    assert got == Counter([(1, a), (1, b), (3, None), (3, ""), (None, None), (None, None), (4, "one")])
+
+
 # Personal data
 
 BASE = (
