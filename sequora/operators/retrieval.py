@@ -166,6 +166,13 @@ def exclude(scored: DataFrame, seen: DataFrame) -> DataFrame:
     return scored.join(seen.select("query_id", "item_id").distinct(), ["query_id", "item_id"], "left_anti")
 
 
+def topk_unseen(queries: DataFrame, items: DataFrame, seen: DataFrame, k: int) -> DataFrame:
+    """As mips_topk without each query's seen items (query_id, item_id): k and as many more as a query has seen are fetched."""
+    most = seen.distinct().groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+    more = mips_topk(queries, items, k + most).select("query_id", "item_id", "score")
+    return top(exclude(more, seen), k)
+
+
 METHODS: dict[str, Callable[..., DataFrame]] = {"brute_force": mips_topk, "sharded": sharded_topk, "mixture": mixture_topk}
 
 

@@ -851,9 +851,8 @@ def sharded_topk(s: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_ASK}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS i FROM sc), r AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM p WHERE i <= 110 AND item_id % 50 <> 0) SELECT query_id, item_id, rank::INT AS rank FROM r WHERE rank <= 50")
 def topk_exclude_seen(s: SparkSession, d: str) -> DataFrame:
     queries, items = _asked(s, d)
-    more = retrieval.mips_topk(queries, items, 110).select("query_id", "item_id", "score")
-    seen = more.where("item_id % 50 = 0")
-    return retrieval.top(retrieval.exclude(more, seen), 50).select("query_id", "item_id", "rank")
+    seen = queries.select(F.col("id").alias("query_id")).crossJoin(items.where("id % 50 = 0").select(F.col("id").alias("item_id")))
+    return retrieval.topk_unseen(queries, items, seen, 50).select("query_id", "item_id", "rank")
 
 
 @query("WITH x AS (SELECT vec_id // 16 AS shard, vec_id % 16 AS row_id, embedding FROM embeddings WHERE vec_id % 3 <> 0), e AS (SELECT DISTINCT shard, r AS row_id FROM x, range(0, 16) t(r)) SELECT e.shard, e.row_id::INT AS row_id, coalesce(round(x.embedding[1]::DOUBLE, 6), 0) AS first_value FROM e LEFT JOIN x USING (shard, row_id)")

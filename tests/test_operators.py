@@ -13,6 +13,7 @@ from sequora.functions import metrics as M
 from sequora.functions import text as X
 from sequora.operators import clean, monitor, proximity, ranking, retrieval, sampling, sequences, vocab
 from sequora.operators.taxonomy import FIVE_DOMAINS, THREE_DOMAIN_POSITIVES, THREE_DOMAINS
+from sequora.plans import registry
 from sequora.plans.registry import Registry
 
 
@@ -194,6 +195,14 @@ def test_topk_blocks(spark):
         retrieval.topk("magic")
 
 
+def test_topk_has_k_rows_however_many_are_seen(spark, tmp_path):
+    """The registered query where 100 of each query's best are seen."""
+    rows = [(i, 0, [1000.0 - i // 50 if i % 50 == 0 else 1.0 + i / 1e5] + [1.0] * 63) for i in range(5000)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.QUERIES["topk_exclude_seen"](spark, str(tmp_path)).orderBy("rank").collect()
+    assert len(got) == 50 and [r.item_id for r in got] == [i for i in range(4999, 4900, -1) if i % 50][:50]
+
+
 def test_mixture_of_products(spark):
     """Equal gates make it the mean of the components' products."""
     items = spark.range(50).select("id", F.array(F.lit(1.0), F.lit(1.0), F.sin("id"), F.cos("id"), F.sin(F.col("id") * 2), (F.col("id") % 3).cast("double")).alias("v"))
