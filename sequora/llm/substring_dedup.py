@@ -29,37 +29,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sequora.llm import kernel as K
-from sequora.llm.runtime import lean, materialise, ship
+from sequora.llm.runtime import Tables, attach, lean, picked, ship
 
 WINDOW, GRAM = 35, 8
 
 
-def anchors(h: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: row, first window (word index in the slice), number of windows, anchor hash, span hash."""
+def anchors(h: np.ndarray, first: np.ndarray, window: int, gram: int, step: int = 1 << 17) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of windows with one anchor: row, first window (word index in the slice), number of windows, anchor hash, span hash.
+
+    `step` windows are looked at together; a run that goes on beyond them counts as two, which changes no result.
+    """
     n = len(h) - window + 1
-    z = np.zeros(0, np.int64)
-    if n <= 0:
-        return z, z, z, z.astype(K.U64), z.astype(K.U64)
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    whole = row[:n] == row[window - 1 :]
-    g = K.rolling(h, gram)
-    at = K.leftmost_minima(g, window - gram + 1)
-    new = whole.copy()
-    new[1:] &= (at[1:] != at[:-1]) | ~whole[:-1] | (row[1:n] != row[: n - 1])
-    begin = np.flatnonzero(new)
-    if not len(begin):
-        return z, z, z, z.astype(K.U64), z.astype(K.U64)
-    count = np.add.reduceat(whole.astype(np.int64), begin)
-    base = K._BASE
-    up = np.full(len(h) + 1, base, K.U64)
-    up[0] = 1
-    up = np.multiply.accumulate(up)
-    down = np.full(len(h) + 1, pow(base, -1, 1 << 64), K.U64)
-    down[0] = 1
-    down = np.multiply.accumulate(down)
-    sums = np.concatenate([[K.U64(0)], np.cumsum(h * up[:-1], dtype=K.U64)])
-    span = K.mix((sums[begin + count + window - 1] - sums[begin]) * down[begin] + count.astype(K.U64) * K.U64(0x9FB21C651E98DF25))
-    return row[begin], begin, count, g[at[begin]], span
+    for c in range(0, n, step):
+        part = h[c : c + step + window - 1]
+        m = len(part) - window + 1
+        row = np.searchsorted(first, np.arange(c, c + len(part)), "right") - 1
+        whole = row[:m] == row[window - 1 :]
+        g = K.grams(part, gram)
+        at = K.leftmost_minima(g, window - gram + 1)
+        new = whole.copy()
+        new[1:] &= (at[1:] != at[:-1]) | ~whole[:-1] | (row[1:m] != row[: m - 1])
+        begin = np.flatnonzero(new)
+        if len(begin):
+            count = np.add.reduceat(whole.astype(np.int64), begin)
+            # windows of one anchor overlap, so the first and the last cover the span
+            w = K.grams(part, window, 2)
+            span = K.mix((w[begin] ^ count.astype(K.U64)) * K.U64(0x9FB21C651E98DF25) + w[begin + count - 1])
+            yield row[begin], begin + c, count, g[at[begin]], span
 
 
 @lean
@@ -69,8 +65,7 @@ def _seeds(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterato
         keys = batch.column("key").to_numpy()
         for i, j in K.slices(offsets):
             h, _, _, first = K.words(data, offsets[i : j + 1])
-            row, at, n, anchor, span = anchors(h, first, window, gram)
-            if len(row):
+            for row, at, n, anchor, span in anchors(h, first, window, gram):
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(span.view(np.int64)), pa.array(keys[i + row]), pa.array((at - first[row]).astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "span", "key", "at", "n"])
 
 
@@ -90,7 +85,7 @@ def _open(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
         anchor, at, n, single = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("anchor", "at", "n", "single"))
         for i, j in K.slices(offsets):
             h, _, _, first = K.words(data, offsets[i : j + 1])
-            w = K.rolling(h, window, 1)
+            w = K.grams(h, window, 1)
             lo, hi = cuts[i], cuts[j]
             if lo == hi:
                 continue
@@ -139,19 +134,28 @@ def repeated_windows(docs: DataFrame, spark: SparkSession, window: int = WINDOW,
     if not 0 < gram <= window:
         raise ValueError("an anchor is at most as long as a window")
     ship(spark)
-    seeds = docs.select("key", "text").mapInArrow(partial(_seeds, window=window, gram=gram), "anchor long, span long, key long, at int, n int")
+    tables = Tables(spark)
+    seeds = tables.write(docs.select("key", "text").mapInArrow(partial(_seeds, window=window, gram=gram), "anchor long, span long, key long, at int, n int"))
     met = seeds.groupBy("anchor").agg(F.count("*").alias("t"), F.min("span").alias("lo"), F.max("span").alias("hi")).where("t > 1")
-    again = materialise(seeds.join(met.select(F.col("anchor").alias("anchor_"), (F.col("lo") == F.col("hi")).alias("one")), F.col("anchor") == F.col("anchor_")).drop("anchor_"), spark)
+    met = tables.write(met.select(F.col("anchor").alias("anchor_"), "t", (F.col("lo") == F.col("hi")).alias("one")))
+    facts = met.agg(F.coalesce(F.max("t"), F.lit(0)).alias("most"), F.coalesce(F.sum("t"), F.lit(0)).alias("total")).first()
+    again = tables.write(attach(seeds, "anchor", met, "anchor_", "t", facts.most, facts.total).drop("anchor_"))
+    tables.drop(seeds, met)
     mixed = again.where("not one")
     spans = mixed.groupBy("anchor", "span").agg(F.count("*").alias("t"), F.min(F.struct("key", "at", "n")).alias("o"))
-    spans = materialise(spans.select("anchor", "span", (F.col("t") == 1).alias("single"), "o.*"), spark)
+    spans = tables.write(spans.select("anchor", "span", "t", (F.col("t") == 1).alias("single"), "o.*"))
     lists = spans.groupBy("key").agg(F.collect_list(F.struct("anchor", "at", "n", "single")).alias("spans"))
     # a repeated row's spans are never single, so reading them from each of its rows only repeats evidence
-    # all of docs' columns go along, so that this shuffle of the texts is the one that the caller's join reads again
-    opened = docs.join(lists.withColumnRenamed("key", "key_"), F.col("key") == F.col("key_")).select(*docs.columns, "spans").mapInArrow(partial(_open, window=window), "anchor long, w long, key long, at int, single boolean")
-    twice = opened.groupBy("anchor", "w").agg(F.count("*").alias("t")).where("t > 1").select(F.col("anchor").alias("anchor_"), F.col("w").alias("w_"))
-    part = opened.where("single").join(twice, (F.col("anchor") == F.col("anchor_")) & (F.col("w") == F.col("w_"))).select("key", "at", F.lit(1).alias("n"))
-    whole = mixed.join(spans.where("not single").select(F.col("anchor").alias("anchor_"), F.col("span").alias("span_")), (F.col("anchor") == F.col("anchor_")) & (F.col("span") == F.col("span_"))).select("key", "at", "n")
+    opened = docs.select("key", "text").join(lists.withColumnRenamed("key", "key_"), F.col("key") == F.col("key_")).select("key", "text", "spans")
+    opened = tables.write(opened.mapInArrow(partial(_open, window=window), "anchor long, w long, key long, at int, single boolean").withColumn("both", F.xxhash64("anchor", "w")))
+    twice = opened.groupBy("both").agg(F.count("*").alias("t")).where("t > 1").withColumnRenamed("both", "both_")
+    facts = twice.agg(F.coalesce(F.max("t"), F.lit(0)).alias("most"), F.coalesce(F.sum("t"), F.lit(0)).alias("total")).first()
+    part = attach(opened.where("single"), "both", twice, "both_", "t", facts.most, facts.total).select("key", "at", F.lit(1).alias("n"))
+    # a span and its anchor as one number: what they hold is one stretch of words
+    both = F.xxhash64("anchor", "span")
+    often = spans.where("not single").select(both.alias("both_"), "t")
+    facts = often.agg(F.coalesce(F.max("t"), F.lit(0)).alias("most"), F.coalesce(F.sum("t"), F.lit(0)).alias("total")).first()
+    whole = attach(mixed.withColumn("both", both), "both", often, "both_", "t", facts.most, facts.total).select("key", "at", "n")
     runs = again.where("one").select("key", "at", "n").unionByName(whole).unionByName(part)
     return runs.groupBy("key").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
 
@@ -164,7 +168,7 @@ def remove_repeats(docs: DataFrame, spark: SparkSession, window: int = WINDOW, g
     repeated rows lose everything from `window` words on.  An empty table gives an empty table.
     """
     ship(spark)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = picked(docs, doc_id="long", text="string")
     base = base.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
     runs = repeated_windows(base, spark, window, gram).withColumnRenamed("key", "key_")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * text
