@@ -432,12 +432,76 @@ def test_encoder_matches_tokenizer():
         assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)] == [[*e.tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in part]
 
 
-def test_genetic_packing_is_no_worse_than_best_fit():
+def thue_morse(n):
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [64, 1024, 4096])
+def test_patterned_words_differ(spark, n):
+    """Words of one length that a polynomial modulo a power of two cannot tell apart."""
+    a, b = thue_morse(n)
+    data, offsets = kernel.string_buffers(packing.pa.array([a, b, " ".join(a), " ".join(b)]))
+    h, _, _, first = kernel.words(data, offsets)
+    assert h[0] != h[1] and kernel.grams(h[2 : n + 2], n)[0] != kernel.grams(h[n + 2 :], n)[0]
+    e = packing.Encoder(TOKENIZER)
+    ids, cuts = e.encode(data, offsets)
+    assert [ids[x:y].tolist() for x, y in zip(cuts, cuts[1:], strict=False)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in (a, b, " ".join(a), " ".join(b))]
+    if n == 1024:
+        rows = [(1, a), (2, b), (3, f"{a} {passage(50, 3)}"), (4, f"{b} {passage(50, 3)}"), (5, passage(10, 3) + f" {a} " + passage(40, 7)), (6, passage(10, 3) + f" {b} " + passage(40, 7))]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(tuple(r) for r in minhash_dedup.near_duplicates(df, spark, 1).collect()) == sorted(brute_components(rows, 1))
+        assert sorted(tuple(r) for r in substring_dedup.remove_repeats(df, spark).collect()) == sorted(brute_removal(rows, 35))
+
+
+def test_chunks_of_one_hash_are_told_apart(monkeypatch):
+    own = kernel.hashes
+    monkeypatch.setattr(kernel, "hashes", lambda raw, starts, lens: np.where(lens > 8, np.uint64(7), own(raw, starts, lens)))
+    e = packing.Encoder(TOKENIZER)
+    texts = ["international intercontinental", "transformation internationale x", "international y"]
+    for part in (texts, texts[::-1]):
+        data, offsets = kernel.string_buffers(packing.pa.array(part))
+        ids, cuts = e.encode(data, offsets)
+        assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in part]
+
+
+SIZES = [(300, 700, 3000), (400, 900, 2000), (500, 1000, 1000), (600, 1500, 501), (1, 2048, 800)]
+
+
+@pytest.mark.parametrize(("low", "high", "n"), SIZES)
+def test_genetic_packing(low, high, n):
+    """Never more bins than best-fit decreasing; fewer where that is not optimal, and fewer than the best parent had."""
     rng = np.random.default_rng(2)
-    for sizes in (rng.integers(1, 2048, 800), rng.integers(600, 1500, 501), np.full(5, 2047), np.zeros(0, np.int64)):
-        plain, best = packing.Packing(sizes, 2048), packing.evolve(sizes, 2048, 1)
-        assert len(best.fill) <= len(plain.fill) and best.fill.sum() == sizes.sum() and (best.fill <= 2048).all()
-        assert (np.bincount(best.bin_of, sizes, len(best.fill)) == best.fill).all()
+    sizes = rng.integers(low, high, n)
+    pool = packing.parents(sizes, 2048, rng, 4)
+    plain, first = packing.fitness(pool[0], sizes, 2048), max(packing.fitness(x, sizes, 2048) for x in pool)
+    best = packing.evolve(pool, sizes, 2048, rng, 40)[0]
+    fill = np.bincount(best, sizes)
+    assert fill.sum() == sizes.sum() and (fill <= 2048).all() and (fill > 0).all()
+    assert packing.fitness(best, sizes, 2048) >= first
+    if (low, high) in ((300, 700), (400, 900), (500, 1000)):
+        assert len(fill) <= -plain[0] - 0.03 * n / 4 and len(fill) < -first[0]
+    assert len(packing.decreasing(np.zeros(0, np.int64), 2048)) == 0 and len(packing.filled(np.zeros(0, np.int64), 2048, rng)) == 0
+
+
+def test_islands(spark):
+    """Packed over islands and shards: every piece once, gapless, and fewer sequences than best-fit decreasing has."""
+    rng = np.random.default_rng(3)
+    sizes = [int(x) for x in rng.integers(400, 900, 3000)] + [2048] * 20
+    df = spark.createDataFrame([(i % 50, 0, 0, x, 9) for i, x in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    bins = defaultdict(list)
+    rows = packing.pack(df, spark, shard_pieces=1000).collect()
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert Counter(r.length for r in rows) == Counter(sizes)
+    for b in bins.values():
+        assert [x for x, _ in sorted(b)] == [sum(n for _, n in sorted(b)[:i]) for i in range(len(b))] and sum(n for _, n in b) <= 2048
+    short = np.array(sizes[:3000])
+    assert len(bins) - 20 < 0.96 * (packing.decreasing(short, 2048).max() + 1)
+    got = packing.gains(df, spark, shard_pieces=1000).collect()
+    assert sum(r.pieces for r in got) == 3000 and all(r.least <= r.bins < r.first for r in got)
 
 
 # Empty tables
