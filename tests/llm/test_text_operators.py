@@ -358,32 +358,47 @@ def brute_targets(sizes):
         capped |= over
 
 
-@pytest.mark.parametrize("table", ["odd", "docs"])
+@pytest.mark.parametrize("table", ["odd", "docs", "tiny", "one"])
 def test_mix(spark, request, table):
-    df = request.getfixturevalue(table)
+    if table == "tiny":
+        df = spark.createDataFrame([(1, "a b c d e", "s")], "doc_id long, text string, source string")
+    elif table == "one":  # a small source beside a large one, many null ids and repeated rows
+        rows = [(None, f"w{i} x y", "big") for i in range(3000)] + [(7, "r s t", "big")] * 500 + [(i, "k l", "small") for i in range(5)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    else:
+        df = request.getfixturevalue(table)
     rows = df.collect()
     sizes = defaultdict(int)
+    by_id = defaultdict(set)
     for r in rows:
         sizes[r.source] += len(WORD.findall(r.text or ""))
+        by_id[r.doc_id].add(r.source)
     want = brute_targets(sizes)
-    got = mixing.mix(df, payload=True).collect()
-    assert sorted(repr((r.doc_id, r.text)) for r in rows) == sorted(repr((r.row.doc_id, r.row.text)) for r in got)
+    got = mixing.mix(df, shard_rows=1000).collect()
+    assert sorted(repr((r.doc_id, len(WORD.findall(r.text or "")), sizes[r.source], round(float(want[r.source]), 6))) for r in rows) == sorted(repr((r.doc_id, r.size, r.source_size, round(r.target, 6))) for r in got)
+    assert all(0 <= r.taken <= 2 * r.size for r in got)
     taken = defaultdict(int)
     for r in got:
-        assert r.target == pytest.approx(want[r.row.source]) and r.source_size == sizes[r.row.source] and 0 <= r.taken <= 2 * r.size
-        taken[r.row.source] += r.taken
-    assert all(abs(taken[s] - want[s]) <= 200 for s in want)
-    again = sorted(repr((r.doc_id, r.size, r.taken)) for r in mixing.mix(df.repartition(3)).collect())
+        taken[r.source_size, round(r.target, 6)] += r.taken
+    expected = defaultdict(float)
+    for s, t in want.items():
+        expected[sizes[s], round(float(t), 6)] += t
+    assert all(abs(taken[s] - expected[s]) <= max(1, 0.01 * expected[s]) for s in expected)
+    again = sorted(repr((r.doc_id, r.size, r.taken)) for r in mixing.mix(df.repartition(3), shard_rows=1000).collect())
     assert again == sorted(repr((r.doc_id, r.size, r.taken)) for r in got)
-    texts = mixing.mixed_documents(df)
+    texts = mixing.mixed_documents(df, shard_rows=1000)
     assert texts.columns == df.columns
     words = Counter()
+    whole = defaultdict(set)
+    for r in rows:
+        whole[r.doc_id].add(" ".join(WORD.findall(r.text or "")))
     for r in texts.collect():
         words[r.doc_id] += len(WORD.findall(r.text))
-    expected = Counter()
+        assert r.doc_id is None or any(not Counter(WORD.findall(r.text)) - Counter(WORD.findall(w)) for w in whole[r.doc_id])
+    counted = Counter()
     for r in got:
-        expected[r.doc_id] += r.taken
-    assert words == +expected
+        counted[r.doc_id] += r.taken
+    assert words == +counted
 
 
 def test_seats_by_highest_quotients(spark):
