@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sequora.llm.runtime import Tables, numbered, picked, place
+from sequora.llm.runtime import Tables, numbered, picked, place, repeated
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -65,11 +65,6 @@ def targets(by: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[
     return by.select("source", "k", "rows_", "source_size", F.when(F.col("capped_"), cap * F.col("source_size")).otherwise(F.col("w_") * level).alias("target"))
 
 
-def _copies(n: Column, most: int = 4096) -> tuple[Column, Column]:
-    """Generators of 0 .. n - 1 in two steps, by a thousand and then by one, so that no long array is made."""
-    return F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {most}"))), F.explode(F.sequence(F.lit(0).cast("long"), F.least(n - F.col("j_") * most, F.lit(most)) - 1))
-
-
 def _headers(docs: DataFrame) -> DataFrame:
     """Rows equal in id, source and text as one: doc_id, source, size, key, copies, and `before`: how many with this id, source and size come before its own."""
     rows = picked(docs, doc_id="long", source="string", text="string")
@@ -93,8 +88,7 @@ def _laid(docs: DataFrame, seed: int, block: int, shard_rows: int, share: float,
     by = by.withColumn("seats_all_", F.round(F.sum("target").over(one) / F.col("block_")).cast("long"))
     by = _seats(by, [], "seats_all_", "target", ["k"], "seats").drop("seats_all_")
     by = by.select(F.col("source").alias("source_"), "k", "source_size", "target", "seats", "block_", F.ceil(F.col("rows_") / shard_rows).cast("long").alias("shards_"))
-    outer, inner = _copies(F.col("copies"))
-    each = headers.select("*", outer.alias("j_")).select("*", inner.alias("i_")).withColumn("i_", F.col("before") + F.col("j_") * 4096 + F.col("i_"))
+    each = repeated(headers, "copies", "i_").withColumn("i_", F.col("before") + F.col("i_"))
     place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size", "i_").cast("binary"))
     in_shard = lambda h: F.pmod(F.conv(F.substring(h, 1, 7), 16, 10).cast("long"), F.col("shards_"))
     dealt = each.withColumn("h_", place).join(by, F.col("source").eqNullSafe(F.col("source_"))).withColumn("shard_", in_shard(F.col("h_")))
@@ -144,8 +138,7 @@ def mixed_documents(docs: DataFrame, seed: int = 17, block: int = 64, shard_rows
     single, several = decided.where("copies = 1"), decided.where("copies > 1")
     once = rows.join(several.select("key_").distinct(), same, "left_semi").dropDuplicates(["key"])
     got = rows.join(single, same).unionByName(once.join(several, same))
-    outer, inner = F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(times - 1) div 4096"))), F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("times") - F.col("j_") * 4096, F.lit(4096))))
-    got = got.select("*", outer.alias("j_")).select("*", inner.alias("n_"))
+    got = repeated(got, "times", "n_")
     words = F.regexp_extract_all(F.col("t_"), F.lit(f"({WORD})"), F.lit(1))
     first = F.slice(words, (F.col("on_") + 1).cast("int"), F.col("once_").cast("int"))
     second = F.slice(words, F.lit(1), F.col("wrapped_").cast("int"))

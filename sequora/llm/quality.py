@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sequora.llm import kernel as K
-from sequora.llm.runtime import lean, ship
+from sequora.llm.runtime import lean, numbered, picked, place, ship
 
 FEATURES = (
     "log_words", "word_bytes", "upper", "digits", "marks", "exclaims", "bars", "stops", "other_signs", "lines", "same_as_before",
@@ -40,30 +40,39 @@ _CLASS[128:] = 9
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Rows by FEATURES of the texts between offsets; a text without words has zeros."""
     n = len(offsets) - 1
-    h, starts, ends, first = K.words(data, offsets)
-    raw, at = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-    words = np.diff(first)
-    per_word, per_byte = np.maximum(words, 1), np.maximum(np.diff(at), 1)
-    kind = _CLASS[raw]
-    counts = np.zeros((n, 10))
-    for c in range(1, 10):
-        counts[:, c] = np.diff(np.concatenate([[0], np.cumsum(kind == c)])[at])
-    # capitals of the Latin-1 letters are 0xC3 and then 0x80-0x9E
-    latin = np.zeros(len(raw), bool)
-    latin[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E)
-    capital = (kind == 1) | latin
-    small = ((raw >= ord("a")) & (raw <= ord("z"))) | ((raw >= 0x9F) & (np.concatenate([[False], raw[:-1] == 0xC3]) if len(raw) else raw >= 0))
-    caps, smalls = np.concatenate([[0], np.cumsum(capital)]), np.concatenate([[0], np.cumsum(small)])
-    row = np.repeat(np.arange(n), words)
-    each = lambda x: np.bincount(row, weights=x, minlength=n)
-    lens = ends - starts
-    s, e = starts - offsets[0], ends - offsets[0]
+    counts = np.zeros((n, 11))  # bytes of each class, and capitals
+    sums = np.zeros((n, 5))  # of words: bytes, long ones, short ones, capitalised ones, all in capitals
+    hashes, rows = [np.zeros(0, K.U64)], [np.zeros(0, np.int64)]
+    for lo, hi, h, s, e in K.word_parts(data, offsets):
+        raw = data[lo:hi]
+        kind = _CLASS[raw]
+        some = np.arange(int(np.searchsorted(offsets, lo, "right")) - 1, int(np.searchsorted(offsets, hi)))
+        begin, end = np.clip(offsets[some], lo, hi) - lo, np.clip(offsets[some + 1], lo, hi) - lo
+        run = lambda x: np.concatenate([[0], np.cumsum(x, dtype=np.int32)])
+        for c in range(1, 10):
+            total = run(kind == c)
+            counts[some, c] += total[end] - total[begin]
+        # capitals of the Latin-1 letters are 0xC3 and then 0x80-0x9E
+        second = np.concatenate([[False], raw[:-1] == 0xC3])
+        caps = run((kind == 1) | second & (raw >= 0x80) & (raw <= 0x9E))
+        smalls = run((raw >= ord("a")) & (raw <= ord("z")) | second & (raw >= 0x9F))
+        counts[some, 10] += caps[end] - caps[begin]
+        row = np.searchsorted(offsets, s, "right") - 1
+        lens, s, e = e - s, s - lo, e - lo
+        capitals = caps[e] - caps[s]
+        each = (lens, lens > 12, lens <= 3, caps[np.minimum(s + 2, e)] > caps[s], (capitals >= 2) & (smalls[e] == smalls[s]))
+        for i, x in enumerate(each):
+            sums[some, i] += np.bincount(row - some[0], x, len(some))
+        hashes.append(h)
+        rows.append(row)
+    h, row = np.concatenate(hashes), np.concatenate(rows)
+    words, size = np.bincount(row, minlength=n), np.diff(offsets)
+    per_word, per_byte = np.maximum(words, 1), np.maximum(size, 1)
     same = np.zeros(len(h))
-    if len(h) > 1:
-        same[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
-    run = np.arange(len(h)) - np.maximum.accumulate(np.where(same == 0, np.arange(len(h)), 0)) if len(h) else same
+    same[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
+    at = np.arange(len(h))
     longest = np.zeros(n)
-    np.maximum.at(longest, row, run + 1)
+    np.maximum.at(longest, row, at - np.maximum.accumulate(np.where(same == 0, at, 0)) + 1)
     own = row.astype(K.U64) * K.U64(0x9E3779B97F4A7C15)
 
     def distinct(x: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -71,14 +80,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return np.bincount(of[i], minlength=n)
 
     pairs = K.grams(h, 2)
-    ok = row[1:] == row[:-1] if len(h) > 1 else np.zeros(0, bool)
-    capitals = caps[e] - caps[s]
-    head = np.minimum(s + 2, e)
+    ok = row[1:] == row[:-1]
     out = [
-        np.log1p(words), each(lens) / per_word, (caps[at[1:]] - caps[at[:-1]]) / per_byte, counts[:, 2] / per_byte, counts[:, 3] / per_word, counts[:, 4] / per_word, counts[:, 5] / per_word,
-        counts[:, 6] / per_word, counts[:, 7] / per_word, counts[:, 8] / per_word, each(same) / per_word, longest / per_word,
-        distinct(K.mix(h ^ own), row) / per_word, distinct(pairs[ok] ^ own[:-1][ok] if len(pairs) else pairs, row[:-1][ok] if len(pairs) else row[:0]) / np.maximum(words - 1, 1),
-        each(lens > 12) / per_word, each(lens <= 3) / per_word, each(caps[head] > caps[s]) / per_word, each((capitals >= 2) & (smalls[e] == smalls[s])) / per_word, counts[:, 9] / per_byte, (np.diff(at) - each(lens)) / per_byte,
+        np.log1p(words), sums[:, 0] / per_word, counts[:, 10] / per_byte, counts[:, 2] / per_byte, counts[:, 3] / per_word, counts[:, 4] / per_word, counts[:, 5] / per_word,
+        counts[:, 6] / per_word, counts[:, 7] / per_word, counts[:, 8] / per_word, np.bincount(row, same, n) / per_word, longest / per_word,
+        distinct(K.mix(h ^ own), row) / per_word, distinct(pairs[ok] ^ own[:-1][ok], row[:-1][ok]) / np.maximum(words - 1, 1),
+        sums[:, 1] / per_word, sums[:, 2] / per_word, sums[:, 3] / per_word, sums[:, 4] / per_word, counts[:, 9] / per_byte, (size - sums[:, 0]) / per_byte,
     ]
     return np.where(words[:, None] > 0, np.stack(out, 1), 0.0)
 
@@ -207,17 +214,18 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = K.string_buffers(batch.column("text"))
         for i, j in K.slices(offsets):
             x = features(data, offsets[i : j + 1])
-            yield pa.RecordBatch.from_arrays([batch.column("label").slice(i, j - i), pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))], ["label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("label").slice(i, j - i), pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))], ["doc_id", "label", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, spark: SparkSession, sample: int = 20_000, **options: object) -> Model:
     """A model of labels (doc_id, quality) from at most `sample` documents outside the held-out fold; other columns are not looked at."""
     ship(spark)
-    marked = labels.select(F.col("doc_id").cast("long").alias("id_"), F.col("quality").cast("int").alias("label")).where("label in (0, 1) and id_ is not null")
+    marked = picked(labels, doc_id="long", quality="int").withColumnsRenamed({"doc_id": "id_", "quality": "label"}).where("label in (0, 1) and id_ is not null")
     marked = marked.where(~held_out(F.col("id_"))).groupBy("id_").agg(F.max("label").alias("label"))
     some = marked.orderBy(F.xxhash64("id_"), "id_").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), F.col("doc_id") == F.col("id_"))
-    got = rows.select("doc_id", "label", "text").mapInArrow(_measure, "label int, x array<double>").limit(2 * sample).toArrow()
+    rows = picked(docs, doc_id="long", text="string").join(F.broadcast(some), F.col("doc_id") == F.col("id_"))
+    got = rows.select("doc_id", "label", "text").mapInArrow(_measure, "doc_id long, label int, x array<double>")
+    got = got.groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("r")).select("r.label", "r.x").toArrow()  # of rows that share an id, one
     x = got["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)) if got.num_rows else np.zeros((0, len(FEATURES)))
     y = got["label"].to_numpy().astype(float)
     order = np.lexsort((y, *x.T))  # the model doesn't depend on the order in which rows arrive
@@ -240,7 +248,7 @@ def score(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
 
     Null, empty and blank texts have the score of a text without words; repeated rows have equal scores.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id").cast("long")).alias("held_out"), F.col("text").cast("string").alias("text"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    rows = picked(docs, doc_id="long", text="string").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _score(batches, model, cut):
@@ -251,14 +259,14 @@ def score(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model, cut: float = 0.3) -> DataFrame:
     """docs without the rows that score less than `cut`."""
-    names = docs.columns
+    plain, at = numbered(docs), place(docs, "text")
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = K.string_buffers(batch.column(names.index("text")))
+            data, offsets = K.string_buffers(batch.column(at))
             keep = [model.score(features(data, offsets[i : j + 1])) >= cut for i, j in K.slices(offsets)]
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -186,6 +186,13 @@ def attach(rows: DataFrame, key: str, facts: DataFrame, at: str, n: str, most: i
     return rows.join(hot, F.col(key) == F.col(at)).unionByName(cold.join(facts.where(F.col(n) <= bound).drop(n), F.col(key) == F.col(at)))
 
 
+def repeated(df: DataFrame, n: str, number: str, step: int = 4096) -> DataFrame:
+    """Each row as often as its column n says, numbered from 0 in `number`; in two steps, so that no long array is made."""
+    some = df.where(F.col(n) > 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / step))).alias("step_"))
+    some = some.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col(n) - F.col("step_") * step, F.lit(step)) - 1)).alias("at_"))
+    return some.withColumn(number, F.col("step_") * step + F.col("at_")).drop("step_", "at_")
+
+
 def connected_components(edges: DataFrame, spark: SparkSession) -> DataFrame:
     """Components of undirected links (a, b), 64-bit ids: one row (id, component) per id, component its smallest id.
 

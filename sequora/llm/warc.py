@@ -1,10 +1,11 @@
 """WARC archives with revisits resolved by payload digest.
 
-Headers alone (digest, id) are shuffled to find, for each payload, the record
-that keeps it; the payloads are then joined to that decision by row, so copies
-of one payload are never gathered.  Records are written by Spark's text writer:
-a record's last byte is the newline that it adds.  Copies become revisit
-records that refer to the response, with fresh headers.
+Headers alone (digest, id, size) are shuffled to find, for each payload, the
+record that keeps it.  Payloads are joined to that decision by row, so copies of
+one payload are never gathered, and only responses need them: revisit records
+are written from headers.  Rows that are equal in all are one header with a
+number of copies.  Records are written by Spark's text writer (a record's last
+byte is the newline that it adds), in files of about `file_bytes`.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sequora.llm.runtime import lean, shared_folder, ship
+from sequora.llm.runtime import Tables, attach, lean, picked, repeated, shared_folder, ship
 
 #: The WARC 1.1 profile for revisits by identical payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -32,49 +33,67 @@ def base32_sha1(text: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def resolved(pages: DataFrame, at_least: int = 0) -> DataFrame:
-    """Per row of pages (page_id, url, html): page_id, url, html (null: empty), digest, key, record_type, refers_to."""
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    base = base.withColumn("digest", base32_sha1(F.col("html"))).withColumn("key", F.xxhash64("page_id", "url", "digest"))
-    headers = base.select("digest", F.octet_length("html").alias("bytes"), "page_id", "key")
-    best = headers.where(F.col("bytes") >= at_least).groupBy("digest").agg(F.max(F.struct("page_id", "key")).alias("r")).select(F.col("digest").alias("d_"), "r")
-    roles = headers.join(best, F.col("digest") == F.col("d_"), "left").groupBy("key").agg(F.first("r").alias("r"))
-    rows = base.join(roles.withColumnRenamed("key", "k_"), F.col("key") == F.col("k_"))
-    again = F.row_number().over(Window.partitionBy("key").orderBy("key"))
-    first = F.col("r").isNull() | ((F.col("r.key") == F.col("key")) & (F.col("again") == 1))
-    rows = rows.withColumn("again", again)
-    return rows.select("page_id", "url", "html", "digest", "key", "again", F.when(first, "response").otherwise("revisit").alias("record_type"), F.when(~first, F.col("r.page_id")).alias("refers_to"), F.when(~first, F.col("r.key")).alias("refers_key"))
+def resolved(base: DataFrame, spark: SparkSession, at_least: int = 0) -> DataFrame:
+    """Per distinct row of base (key, page_id, url, html): key, page_id, url, bytes, digest, copies, responses (how many of its copies
+    hold the payload) and r (page_id, key and url of the record that the others refer to)."""
+    tables = Tables(spark)
+    headers = base.select("key", "page_id", "url", F.octet_length("html").cast("long").alias("bytes"), base32_sha1(F.col("html")).alias("digest"))
+    headers = tables.write(headers.groupBy("key", "page_id", "url", "bytes", "digest").agg(F.count("*").alias("copies")))
+    enough = headers.where(F.col("bytes") >= at_least)
+    best = enough.groupBy("digest").agg(F.max(F.struct("page_id", "key", "url")).alias("r"), F.count("*").alias("n"))
+    best = tables.write(best.withColumnRenamed("digest", "digest_"))
+    facts = best.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
+    met = attach(enough, "digest", best, "digest_", "n", facts.most, facts.total).drop("digest_")
+    met = met.withColumn("responses", F.when(F.col("r.key") == F.col("key"), 1).otherwise(0).cast("long"))
+    less = headers.where(F.col("bytes") < at_least).withColumn("r", F.lit(None).cast(best.schema["r"].dataType)).withColumn("responses", F.col("copies"))
+    return tables.write(met.unionByName(less))
 
 
-def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", at_least: int = 0, per_file: int = 5000) -> None:
-    """Write one record for each row of pages under `path`, as gzip files of at most `per_file` records.
+def write_archives(pages: DataFrame, path: str, spark: SparkSession, date: str = "2024-01-01T00:00:00Z", at_least: int = 0, file_bytes: int = 1 << 27) -> None:
+    """Write one record for each row of pages (page_id, url, html, any others) under `path`, as gzip files of about `file_bytes` before compression.
 
     Null html is an empty payload, a null url an empty target, a null page_id an absent id; of repeated rows one is the
     response, the others revisit it.  Of equal payloads of at least `at_least` bytes the largest page_id is the response.
     """
     crlf = "\r\n"
-    rows = resolved(pages, at_least)
+    base = picked(pages, page_id="long", url="string", html="string").select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    base = base.select(F.xxhash64("page_id", "url", "html").alias("key"), "page_id", "url", "html")
+    roles = resolved(base, spark, at_least)
+    facts = roles.agg(F.coalesce(F.sum(F.col("bytes") * F.col("responses")), F.lit(0)).alias("bytes"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
+    holders = roles.where("responses > 0").withColumnRenamed("key", "key_")
+    payload = base.select("key", "html")
+    same = F.col("key") == F.col("key_")
+    # one row for each key: rows that are equal in all are reduced to one before they meet their header
+    once = payload.join(holders.where("copies > 1").select("key_"), same, "left_semi").dropDuplicates(["key"])
+    rows = payload.join(holders.where("copies = 1"), same).unionByName(once.join(holders.where("copies > 1"), same)).drop("key_")
+    responses = repeated(rows, "responses", "number").withColumn("type", F.lit("response"))
+    again = repeated(roles.withColumn("rest", F.col("copies") - F.col("responses")), "rest", "number").drop("rest")
+    revisits = again.withColumn("number", F.col("number") + F.col("responses")).withColumn("type", F.lit("revisit")).withColumn("html", F.lit(""))
     record_id = lambda key, n: F.concat(F.lit("<urn:x-page-record:"), F.hex(key), F.lit("-"), n.cast("string"), F.lit(">"))
-    size = F.octet_length("html")
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{crlf}Content-Type: text/html; charset=utf-8{crlf}Content-Length: "), size.cast("string"), F.lit(crlf * 2))
-    block = F.when(F.col("record_type") == "response", F.concat(http, "html")).otherwise(http)
+    revisit = F.col("type") == "revisit"
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{crlf}Content-Type: text/html; charset=utf-8{crlf}Content-Length: "), F.col("bytes").cast("string"), F.lit(crlf * 2))
+    block = F.concat(http, "html")
+    target = lambda url: F.regexp_replace(url, r"[\x00-\x20]", "%20")
     field = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(crlf)), F.lit(""))
     header = F.concat(
         F.lit(f"WARC/1.1{crlf}"),
-        field("WARC-Type", F.col("record_type")),
-        field("WARC-Record-ID", record_id(F.col("key"), F.col("again"))),
+        field("WARC-Type", F.col("type")),
+        field("WARC-Record-ID", record_id(F.col("key"), F.col("number"))),
         field("WARC-Date", F.lit(date)),
-        field("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x20]", "%20")),
+        field("WARC-Target-URI", target(F.col("url"))),
         field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
-        field("WARC-Refers-To", F.when(F.col("record_type") == "revisit", record_id(F.col("refers_key"), F.lit(1)))),
-        field("WARC-Profile", F.when(F.col("record_type") == "revisit", F.lit(PROFILE))),
+        field("WARC-Refers-To", F.when(revisit, record_id(F.col("r.key"), F.lit(0)))),
+        field("WARC-Refers-To-Target-URI", F.when(revisit, target(F.col("r.url")))),
+        field("WARC-Refers-To-Date", F.when(revisit, F.lit(date))),
+        field("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
         field("X-Page-Id", F.col("page_id")),
-        field("X-Refers-To-Page-Id", F.col("refers_to")),
+        field("X-Refers-To-Page-Id", F.when(revisit, F.col("r.page_id"))),
         field("Content-Type", F.lit("application/http;msgtype=response")),
         field("Content-Length", F.octet_length(block)),
     )
-    value = F.concat(header, F.lit(crlf), block, F.lit("\r\n\r"))
-    rows.select(value.alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    value = F.concat(header, F.lit(crlf), block, F.lit("\r\n\r")).alias("value")
+    per_file = max(1, int(file_bytes // (facts.bytes / max(1, facts.rows) + 700)))
+    responses.select(value).unionByName(revisits.select(value)).write.option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -144,7 +163,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(pages: DataFrame, spark: SparkSession) -> DataFrame:
     """Write pages to archives in the shared folder and read them back; columns as read_archives."""
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(pages, path)
+    write_archives(pages, path, spark)
     return read_archives(spark, path)
 
 
