@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -226,6 +227,68 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert got[300] == "card:21:37,phone:3:20"
 
 
+def planted_identifiers():
+    """Rows, and by row the unseen identifier in it or None: contexts that seeds support, forms that the base patterns miss, and distractors."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    filler = lambda n: " ".join(word() for _ in range(n))
+
+    def card(ok=True):
+        d = "4" + digits(14)
+        good = next(c for c in "0123456789" if pii.luhn(d + c))
+        return d + (good if ok else str((int(good) + 3) % 10))
+
+    seen = [
+        lambda: f"please write to {word()}.{word()}@{word()}.example.org today",
+        lambda: f"call us at +1 (555) {digits(3)}-{digits(4)} anytime",
+        lambda: f"her card {card()} expires soon",
+        lambda: f"host ip {rng.integers(1, 250)}.{rng.integers(1, 250)}.{rng.integers(1, 250)}.{rng.integers(1, 250)} was logged",
+    ]
+    unseen = [
+        lambda: ("please write to {} today", f"{word()}@{word()}", 0),
+        lambda: ("please write to {} today", f"{word()}[at]{word()}.example.org", 0),
+        lambda: ("call us at {} anytime", f"15551 {digits(3)} {digits(3)}", 3),
+        lambda: ("call us at {} anytime", f"1555{digits(7)}", 3),
+        lambda: ("her card {} expires soon", card(False), 2),
+        lambda: ("host ip {} was logged", f"10.{rng.integers(10, 99)}.{rng.integers(10, 99)}.{rng.integers(300, 999)}", 1),
+    ]
+    other = [lambda: f"order {digits(11)} was sent", lambda: f"version {digits(2)}.{digits(2)}.{digits(2)}.{rng.integers(300, 999)} of it", lambda: f"part {digits(16)} in stock", lambda: f"meet {word()} @ {word()} at 1{digits(9)} or so", lambda: f"on 2024-0{rng.integers(1, 9)}-{rng.integers(10, 28)} it rained"]
+    rows, want = [], {}
+    for i in range(900):
+        pick = rng.random()
+        if pick < 0.5:
+            body = seen[i % len(seen)]()
+        elif pick < 0.65:
+            form, token, kind = unseen[i % len(unseen)]()
+            body = form.format(token)
+        else:
+            body = other[i % len(other)]()
+        text = f"{filler(int(rng.integers(2, 9)))} {body} {filler(int(rng.integers(2, 9)))}"
+        if 0.5 <= pick < 0.65:
+            want[i] = f"{pii.KINDS[kind]}:{text.index(token)}:{text.index(token) + len(token)}"
+        rows.append((i, text))
+    return rows, want
+
+
+def test_added_spans_are_right(spark):
+    """Recall of planted identifiers that no base pattern finds, of every kind, and precision of all spans that are added."""
+    rows, want = planted_identifiers()
+    got = {r.doc_id: set(r.spans.split(",")) - {""} for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string"), spark).collect()}
+    added = {(i, x) for i, t in rows for x in got[i] - set(brute_spans(t))}
+    wanted = set(want.items())
+    by_kind = {k: [w in added for w in wanted if w[1].startswith(k)] for k in pii.KINDS}
+    assert all(len(v) >= 10 and np.mean(v) >= 0.9 for v in by_kind.values()), {k: (len(v), np.mean(v)) for k, v in by_kind.items()}
+    assert len(added & wanted) >= 0.9 * len(added), sorted(added - wanted)[:20]
+
+
+@pytest.mark.parametrize("text", ["1 " + "a" * 10**6, "1," * 300_000, "+1 " * 100_000, "1 2 " * 100_000, "a@" * 200_000, "@" * 10**6, "1.1.1." * 100_000, "+" * 10**6 + "1" * 10**6, "(at)" * 200_000, "a1" * 500_000], ids=lambda t: t[:6])
+def test_long_texts_take_linear_time(text):
+    start = time.process_time()
+    pii.occurrences(text, pii.base_spans(text), 6, (8, 19))
+    assert time.process_time() - start < 20
+
+
 def test_redaction(spark, odd):
     out = pii.redact(odd, spark)
     assert out.columns == odd.columns and out.count() == odd.count()
