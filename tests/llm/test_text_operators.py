@@ -341,6 +341,57 @@ def test_articles_are_a_prior(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article class="post section-social"><p data-id="search">' + BODY + "</p></article>", BODY),
+        (f"<div class=ad>Buy<p>{BODY}</p><p>{BODY}</p>", f"{BODY}\n{BODY}"),
+        (f"<article><p>{BODY}</p><p>See <a href=x>the long list of all the other things that they had</a> for more of what was in it.</p><p>{BODY}</p></article>", f"{BODY}\nSee the long list of all the other things that they had for more of what was in it.\n{BODY}"),
+        (f"<article><p>{BODY}</p></article><article class='comment-body'><p>{BODY}</p></article>", BODY),
+        (f"<p>{BODY}</p><!-- never closed <p>x</p>", BODY),
+        (f"<p>{BODY}</p><a href='x", BODY),
+        ("<p>Hello</p>", "Hello"),
+    ],
+)
+def test_attributes_and_open_elements(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_rules_decide_without_article_elements(spark):
+    """Block rules alone give what they give beside article and main elements, and both passes decide blocks."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    bare = [re.sub(r"</?(?:article|main)\b[^>]*>", "", h) for h in pages]
+    assert [html_text.main_text(h) for h in pages] == [html_text.main_text(h) for h in bare]
+    total = Counter()
+    for h in bare:
+        total.update(html_text.decided(h))
+    assert total["first_good"] > 500 and total["second_good"] > 500
+
+
+def test_planted_texts():
+    """Pages of plain divs: text between lists of links, teasers and short lines; most of its characters come out, and little else."""
+    rng = np.random.default_rng(11)
+    stops, plain = "the of and to in that it was for on with as his they at be this from".split(), [f"w{chr(97 + i)}{chr(97 + j)}rd" for i in range(20) for j in range(5)]
+    prose = lambda n: " ".join(rng.choice(stops) if rng.random() < 0.4 else rng.choice(plain) for _ in range(n))
+    links = lambda n: "".join(f"<div><a href=x>{' '.join(rng.choice(plain, 3))}</a></div>" for _ in range(n))
+    hit = total = extra = 0
+    for _ in range(200):
+        body = [("h2" if rng.random() < 0.15 else "p", prose(int(rng.integers(4, 9)) if rng.random() < 0.2 else int(rng.integers(15, 80)))) for _ in range(int(rng.integers(3, 12)))]
+        body[-1] = ("p", prose(40))
+        around = f"<div>{' '.join(rng.choice(plain, 3))}</div>"
+        page = f"<body>{links(6)}{around}{links(3)}" + "".join(f"<{t}>{x}</{t}>" for t, x in body) + f"{links(4)}{around}{links(4)}</body>"
+        got, want = set(html_text.main_text(page).split("\n")), {x for _, x in body}
+        hit, total, extra = hit + sum(map(len, got & want)), total + sum(map(len, want)), extra + sum(map(len, got - want))
+    assert hit >= 0.97 * total and extra <= 0.02 * total
+
+
+@pytest.mark.parametrize("page", ["<a " * 10**5, "<!" * 10**5, "<a '" * 10**5 + ">", "<script>" * 10**5, "<!--" * 10**5, "<div class=ad>" * 10**5, "<p>x" * 10**5, "<div>" * 10**5 + "</div>" * 10**5, "<a \">" * 10**5, "&amp" * 10**5, "<p " + "class " * 10**5 + ">"], ids=lambda t: t[:8])
+def test_long_pages_take_linear_time(page):
+    start = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - start < 10
+
+
 def test_html_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     extra = spark.createDataFrame([(None, None, None), (7, "u", "")], "page_id long, url string, html string")
