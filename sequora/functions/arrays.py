@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -75,3 +75,20 @@ def append_at(c: Column, place: Column, value: Column) -> Column:
 
 def entropy(p: Column, eps: float = 1e-8) -> Column:
     return F.aggregate(p, F.lit(0.0), lambda s, v: s - v * F.log(v + eps))
+
+
+def log_sum_exp(a: Column) -> Column:
+    """Logarithm of the sum of exponentials, in stable form."""
+    top = F.array_max(a)
+    return top + F.log(F.aggregate(a, F.lit(0.0), lambda s, v: s + F.exp(v - top)))
+
+
+def gathered(parts: list[DataFrame], column: str) -> DataFrame:
+    """Batches whose arrays differ in length as one: arrays are filled with zeros to the longest of all and cut to their own length again."""
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    own = whole.withColumn("_n", F.size(column))
+    longest = F.broadcast(own.agg(F.max("_n").alias("_longest")))  # one row
+    padded = own.crossJoin(longest).withColumn(column, F.expr(f"concat(`{column}`, array_repeat(cast(0 as bigint), _longest - _n))"))
+    return padded.withColumn(column, F.slice(column, F.lit(1), F.col("_n"))).drop("_n", "_longest")

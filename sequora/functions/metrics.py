@@ -34,3 +34,8 @@ def log_softmax_loss(positive: Column, negatives: Column, temperature: float = 0
 def bce(logit: Column, target: Column) -> Column:
     """Binary cross entropy with logits, in stable form."""
     return F.greatest(logit, F.lit(0.0)) - logit * target + F.log1p(F.exp(-F.abs(logit)))
+
+
+def bce_pair(positive: Column, negative: Column) -> Column:
+    """Half the cross entropy of a positive logit (target 1) and a sampled negative one (target 0); the weight masks invalid negatives."""
+    return (bce(positive, F.lit(1)) + bce(negative, F.lit(0))) * 0.5

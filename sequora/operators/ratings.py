@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sequora.operators.vocab import numbered
+
 
 def with_users(ratings: DataFrame, users: DataFrame, on: str) -> DataFrame:
     return ratings.join(users, on, "left")
@@ -12,15 +14,17 @@ def with_users(ratings: DataFrame, users: DataFrame, on: str) -> DataFrame:
 
 def kcore(df: DataFrame, user: str, item: str, least: int) -> DataFrame:
     """Rows whose user and item both occur at least so often, both counted before any row goes (one pass, not iterated)."""
-    u, i = F.count("*").over(Window.partitionBy(user)), F.count("*").over(Window.partitionBy(item))
-    return df.withColumn("_u", u).withColumn("_i", i).where((F.col("_u") >= least) & (F.col("_i") >= least)).drop("_u", "_i")
+    often = lambda c, name: df.groupBy(F.col(c).alias(name)).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(name)
+    # counts are combined before the shuffle; what is left of them filters the rows
+    kept = df.join(often(user, "_u"), F.col(user).eqNullSafe(F.col("_u")), "left_semi")
+    return kept.join(often(item, "_i"), F.col(item).eqNullSafe(F.col("_i")), "left_semi")
 
 
 def codes(df: DataFrame, column: str, name: str) -> DataFrame:
     """df with the 0-based rank of each distinct value.  The distinct values are numbered once and joined back."""
     values = df.select(F.col(column).alias("_v")).distinct()
-    numbered = values.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_v")) - 1)
-    return df.join(numbered, F.col(column) == F.col("_v"), "left").drop("_v")
+    ranked = numbered(values, [], ["_v"], name)
+    return df.join(ranked, F.col(column) == F.col("_v"), "left").drop("_v")
 
 
 def split_by_share(df: DataFrame, user: str, share: float) -> DataFrame:

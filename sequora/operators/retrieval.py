@@ -79,12 +79,13 @@ class _Best:
             self.asked = np.concatenate(self.vectors)
             self.q, self.item, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
             self.least = np.full(len(self.asked), -np.inf)
+        step = 1 << 16
         for i in range(0, len(self.asked), 256):
             part = self.asked[i : i + 256]
             s = self.scorer(part, items)
             q, c = np.nonzero(s >= self.least[i : i + 256, None] - 1e-9)
             if self.scorer is inner_products:  # one order of summation, so that equal vectors have equal scores
-                score = (part[q] * items[c]).sum(1) if len(q) <= 1 << 20 else s[q, c]
+                score = np.concatenate([(part[q[j : j + step]] * items[c[j : j + step]]).sum(1) for j in range(0, len(q), step)]) if len(q) else np.zeros(0)
             else:
                 score = s[q, c]
             self.q, self.item, self.score = np.concatenate([self.q, q + i]), np.concatenate([self.item, ids[c]]), np.concatenate([self.score, score])
@@ -123,23 +124,27 @@ def _block_topk(batches: Iterator[pa.RecordBatch], k: int, scorer: Scorer = inne
         yield from best.rows()
 
 
-def mips_topk(queries: DataFrame, items: DataFrame, k: int, blocks: int = 16, chunks: int = 1, scorer: Scorer = inner_products) -> DataFrame:
+BLOCK_ITEMS, CHUNK_QUERIES = 1 << 17, 1 << 12
+
+
+def mips_topk(queries: DataFrame, items: DataFrame, k: int, blocks: int | None = None, chunks: int | None = None, scorer: Scorer = inner_products) -> DataFrame:
     """(query_id, item_id, score, rank): the k items of largest inner product for each query, ties to the smaller id.
 
-    queries (id, v) and items (id, v).  Items are dealt to blocks and queries to chunks by hash; each block and chunk meet in one
-    task, which holds the chunk's queries and streams the block's items through matrix products, keeping k rows for each query.
-    Those are merged.  Nothing is broadcast.
+    queries (id, v) and items (id, v).  Items are dealt to blocks and queries to chunks by hash (as many as their counts ask
+    for, if not given); each block and chunk meet in one task, which holds the chunk's queries and streams the block's items
+    through matrix products, keeping k rows for each query.  Those are merged.  Nothing is broadcast; vectors travel as they are.
     """
+    blocks = blocks or max(16, -(-items.count() // BLOCK_ITEMS))
+    chunks = chunks or max(1, -(-queries.count() // CHUNK_QUERIES))
     place = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    vec = F.col("v").cast("array<double>").alias("v")
-    dealt = items.select(place(1, blocks).alias("block"), each(chunks).alias("chunk"), F.lit(False).alias("asks"), F.col("id").cast("long").alias("id"), vec)
-    dealt = dealt.unionByName(queries.select(each(blocks).alias("block"), place(2, chunks).alias("chunk"), F.lit(True).alias("asks"), F.col("id").cast("long").alias("id"), vec))
+    dealt = items.select(place(1, blocks).alias("block"), each(chunks).alias("chunk"), F.lit(False).alias("asks"), F.col("id").cast("long").alias("id"), "v")
+    dealt = dealt.unionByName(queries.select(each(blocks).alias("block"), place(2, chunks).alias("chunk"), F.lit(True).alias("asks"), F.col("id").cast("long").alias("id"), "v"))
     parts = dealt.repartition(blocks * chunks, "block", "chunk").sortWithinPartitions("block", "chunk", F.desc("asks")).mapInArrow(partial(_block_topk, k=k, scorer=scorer), "query_id long, item_id long, score double")
     return top(parts, k)
 
 
-def mixture_topk(queries: DataFrame, items: DataFrame, k: int, parts: int, blocks: int = 16, chunks: int = 1) -> DataFrame:
+def mixture_topk(queries: DataFrame, items: DataFrame, k: int, parts: int, blocks: int | None = None, chunks: int | None = None) -> DataFrame:
     """As mips_topk by a mixture of products: v holds `parts` gate logits and then as many components of one length."""
     return mips_topk(queries, items, k, blocks, chunks, partial(mixture_of_products, parts=parts))
 
@@ -151,13 +156,16 @@ def top(scored: DataFrame, k: int) -> DataFrame:
 
 
 def sharded_topk(queries: DataFrame, items: DataFrame, shard: str, k: int) -> DataFrame:
-    """Top k within each shard, then of all shards (every shard counts)."""
-    number = F.col(shard).cast("int")
-    vec = F.col("v").cast("array<double>").alias("v")
-    dealt = items.select(number.alias("block"), F.lit(0).alias("chunk"), F.lit(False).alias("asks"), F.col("id").cast("long").alias("id"), vec)
-    shards = items.select(number.alias("block")).distinct()
-    asked = queries.crossJoin(F.broadcast(shards)).select("block", F.lit(0).alias("chunk"), F.lit(True).alias("asks"), F.col("id").cast("long").alias("id"), vec)  # a few shard numbers
-    parts = dealt.unionByName(asked).repartition("block", "chunk").sortWithinPartitions("block", "chunk", F.desc("asks")).mapInArrow(partial(_block_topk, k=k), "query_id long, item_id long, score double")
+    """Top k within each shard, then of all shards (every shard counts).  A shard's items are dealt to blocks, queries to chunks, as in mips_topk."""
+    chunks = max(1, -(-queries.count() // CHUNK_QUERIES))
+    sizes = items.groupBy(F.col(shard).cast("int").alias("s")).agg(F.ceil(F.count("*") / BLOCK_ITEMS).cast("int").alias("n"))
+    salt = lambda i, n: F.pmod(F.xxhash64(F.lit(i), "id"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    held = items.join(sizes, F.col(shard).cast("int") == F.col("s")).select("s", salt(1, F.col("n")).alias("block"), each(F.lit(chunks)).alias("chunk"), F.lit(False).alias("asks"), F.col("id").cast("long").alias("id"), "v")
+    # queries meet every block of every shard: a row for each pair, as the sharded search asks for
+    asked = queries.join(sizes).select("s", each(F.col("n")).alias("block"), salt(2, F.lit(chunks)).alias("chunk"), F.lit(True).alias("asks"), F.col("id").cast("long").alias("id"), "v")
+    both = held.unionByName(asked).withColumn("block", F.col("s").cast("long") * (1 << 20) + F.col("block")).drop("s")
+    parts = both.repartition("block", "chunk").sortWithinPartitions("block", "chunk", F.desc("asks")).mapInArrow(partial(_block_topk, k=k), "query_id long, item_id long, score double")
     return top(parts, k)
 
 

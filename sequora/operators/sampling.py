@@ -45,10 +45,23 @@ def owned(df: DataFrame, place: str, workers: int, worker: int) -> DataFrame:
     return df.where(F.pmod(F.col(place), F.lit(workers)) == worker)
 
 
-def offsets(parts: DataFrame, order: str, rows: str) -> DataFrame:
-    """parts with the number of rows in all parts before each."""
-    w = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return parts.withColumn("first_row", F.coalesce(F.sum(rows).over(w), F.lit(0)))
+def offsets(parts: DataFrame, order: str, rows: str, width: int = 1 << 16) -> DataFrame:
+    """parts, in the order of a whole-number column, with the number of rows in all parts before each.
+
+    Parts are added up within buckets of consecutive numbers; only the buckets' sums meet in one place.
+    """
+    held = parts.withColumn("_b", F.floor(F.col(order) / width))
+    sums = held.groupBy("_b").agg(F.sum(rows).alias("_n"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(before(Window.partitionBy(F.lit(0)).orderBy("_b"))), F.lit(0)).alias("_before"))
+    own = F.coalesce(F.sum(rows).over(before(Window.partitionBy("_b").orderBy(order))), F.lit(0))
+    return held.withColumn("_own", own).join(starts, F.col("_b") == F.col("_c")).withColumn("first_row", F.col("_own") + F.col("_before")).drop("_b", "_c", "_own", "_before")
+
+
+def rows_at(asked: DataFrame, position: str, rows: DataFrame, parts: DataFrame, part: str, row: str) -> DataFrame:
+    """The rows at asked positions over all parts: `parts` has each part's first_row, `rows` the number of each row in its part."""
+    placed = rows.join(parts.select(F.col(part).alias("_p"), "first_row"), F.col(part) == F.col("_p")).withColumn("_at", F.col("first_row") + F.col(row)).drop("_p", "first_row")
+    return asked.join(placed, F.col(position) == F.col("_at")).drop("_at")
 
 
 def rotated_shard(epoch: Column, shards: int) -> Column:
@@ -90,6 +103,25 @@ def domain_negatives(domains: DataFrame, pool: DataFrame, item: str, k: int, see
     return uniform_negatives(domains.select("domain").distinct(), ["domain"], pool, item, k, seed, ["domain"])
 
 
+def pooled_negatives(pools: dict[int, dict[int, float]], items: DataFrame, item: str, k: int, seed: int) -> DataFrame:
+    """k draws for each domain, shared by its rows: each from a pool (another domain's items) by weight, then an item of it:
+    rows (domain, j, pool, negative).  items has domain and `item`; a pool without items gives none."""
+    spans = []
+    for domain, weights in pools.items():
+        low, total = 0.0, sum(weights.values())
+        for pool, w in weights.items():
+            spans.append((domain, pool, low, low + w / total))
+            low += w / total
+        spans[-1] = (*spans[-1][:3], 1.0)
+    table = items.sparkSession.createDataFrame(spans, "domain int, pool int, low double, high double")
+    draws = table.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("_u", unit_hash(seed, F.col("domain"), F.col("j"), F.lit("pool")))
+    draws = draws.where((F.col("_u") >= F.col("low")) & (F.col("_u") < F.col("high"))).select("domain", "j", "pool")
+    at = indexed(items.withColumnRenamed("domain", "_d"), item, ["_d"])
+    sizes = at.groupBy(F.col("_d").alias("_s")).agg(F.max("n").alias("_n"))
+    asked = draws.join(sizes, F.col("pool") == F.col("_s")).withColumn("_i", F.pmod(hash60(seed, F.col("domain"), F.col("j"), F.lit("item")), F.col("_n")))
+    return asked.join(at, (F.col("pool") == F.col("_d")) & (F.col("_i") == F.col("idx"))).select("domain", "j", "pool", F.col(item).alias("negative"))
+
+
 def in_batch_negatives(rows: DataFrame, batch: str, place: str, seq: str, item: str, k: int, seed: int, attempts: int = 4) -> DataFrame:
     """k draws for each row from its batch, of another sequence and item: rows (batch, place, j, negative).
 

@@ -27,11 +27,31 @@ def distinct_items(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys).distinct()
 
 
+def numbered(items: DataFrame, by: list[str], keys: list[str], name: str, start: int = 0, bucket: Column | None = None) -> DataFrame:
+    """items with dense numbers from `start` in the order of keys, for each value of `by`.
+
+    Items are numbered within buckets that follow the order (the first characters of a text, ranges of whole numbers, or as
+    given), and each bucket begins after those before it: only bucket sizes meet in one place.
+    """
+    if bucket is None:
+        kind = items.schema[keys[0]].dataType
+        first = F.col(keys[0])
+        bucket = F.substring(first, 1, 4) if kind.typeName() in ("string", "varchar", "char") else F.floor(first / (1 << 16)) if kind.typeName() in ("byte", "short", "integer", "long") else F.lit(0)
+    held = items.withColumn("_b", bucket)
+    sizes = held.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = F.col("_b").eqNullSafe(F.col("_c"))
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    own = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*keys))
+    return held.withColumn("_own", own).join(starts, same).select(*items.columns, (F.col("_own") + F.col("_before") + (start - 1)).cast("long").alias(name))
+
+
 def build(df: DataFrame, keys: list[str], by: str | None = None, start: int = FIRST_ID, name: str = "item_id") -> DataFrame:
     """Dense ids from `start` for distinct keys in their order, for each value of `by`."""
-    cols = [*([by] if by else []), *keys]
-    order = Window.partitionBy(*([by] if by else [F.lit(0)])).orderBy(*keys)
-    return distinct_items(df, cols).withColumn(name, (F.row_number().over(order) + start - 1).cast("long"))
+    by_ = [by] if by else []
+    return numbered(distinct_items(df, [*by_, *keys]), by_, keys, name, start)
 
 
 def build_large(df: DataFrame, keys: list[str], by: str, start: int = FIRST_ID, name: str = "item_id", buckets: int = 1024) -> DataFrame:
@@ -49,8 +69,8 @@ def build_large(df: DataFrame, keys: list[str], by: str, start: int = FIRST_ID,
 
 def build_first_seen(df: DataFrame, by: str, text: str, order: list[str], start: int = 0, name: str = "item_id") -> DataFrame:
     """Dense ids in the order in which texts are first met."""
-    first = df.groupBy(by, text).agg(F.min(F.struct(*order)).alias("_first"))
-    return first.withColumn(name, (F.row_number().over(Window.partitionBy(by).orderBy("_first")) + start - 1).cast("long")).drop("_first")
+    first = df.groupBy(by, text).agg(F.min(F.struct(*order)).alias("_first")).select(by, text, *(F.col(f"_first.{o}").alias(f"_o{i}") for i, o in enumerate(order)))
+    return numbered(first, [by], [f"_o{i}" for i in range(len(order))], name, start).drop(*(f"_o{i}" for i in range(len(order))))
 
 
 def stats(vocab: DataFrame, name: str = "item_id") -> DataFrame:
@@ -67,6 +87,13 @@ def attach(df: DataFrame, vocab: DataFrame, on: list[str], how: str = "left") ->
     return df.join(vocab, on, how)
 
 
+def category(df: DataFrame, item: str, table: DataFrame, place: str, category: str) -> DataFrame:
+    """df with the category, counted from 1, of items counted from 1; item 0 (padding) has that of item 1."""
+    at = F.greatest(F.col(item) - 1, F.lit(0))
+    found = table.select(F.col(place).alias("_p"), (F.col(category) + 1).alias(category))
+    return df.join(found, at == F.col("_p")).drop("_p")
+
+
 def misses(df: DataFrame, vocab: DataFrame, on: list[str], name: str = "item_id") -> DataFrame:
     return attach(df, vocab, on).agg(F.count("*").alias("n_rows"), F.count_if(F.col(name).isNull()).alias("n_missing"))
 

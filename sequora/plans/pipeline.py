@@ -57,7 +57,7 @@ def event_pipeline(spark: SparkSession, raw: DataFrame, folder: str, taxonomy: T
         return clean.dedup(flat, keys, ["market", "commercial_intent_score"]).withColumn("domain_id", taxonomy.domain(F.col("type"))).where("domain_id >= 0")
 
     def words(done: dict[str, DataFrame]) -> DataFrame:
-        return vocab.build(done["events"], ["title", "url"], "domain_id")
+        return vocab.build_large(done["events"], ["title", "url"], "domain_id")
 
     def encoded(done: dict[str, DataFrame]) -> DataFrame:
         joined = vocab.attach(done["events"], done["vocab"], ["domain_id", "title", "url"], "inner")

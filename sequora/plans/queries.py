@@ -558,15 +558,17 @@ def truncate_last_n(s: SparkSession, d: str) -> DataFrame:
 _SEQ = f"{EV}, q AS (SELECT user_id, list(id ORDER BY t, event_id) AS ids, list(event_type ORDER BY t, event_id) AS types, list(positive::INT ORDER BY t, event_id) AS acts, list(t ORDER BY t, event_id) AS ts FROM ev GROUP BY user_id)"
 
 
-def _seq(s: SparkSession, d: str) -> DataFrame:
+def _seq(s: SparkSession, d: str, last: int | None = None) -> DataFrame:
+    """Each user's events as arrays; only the last ones, cut before they meet in an array, where no more is needed."""
     rows = events(s, d).withColumn("act", F.col("positive").cast("int"))
+    rows = rows if last is None else sequences.tail(rows, "user_id", ORDER, last)
     return sequences.collect(rows, "user_id", ORDER, ["id", "event_type", "act", "t"]).withColumnsRenamed({"id": "ids", "event_type": "types", "act": "acts", "t": "ts"})
 
 
 @query(f"WITH {_SEQ}, x AS (SELECT user_id, ids[1:len(ids)-1] AS i, ids[2:] AS l FROM q) SELECT user_id, least(len(i), 50)::INT AS length, array_to_string((i[greatest(len(i)-49, 1):] || list_transform(range(50), lambda v: 0::BIGINT))[1:50], ',') AS input_ids, array_to_string((l[greatest(len(l)-49, 1):] || list_transform(range(50), lambda v: 0::BIGINT))[1:50], ',') AS label FROM x")
 def pad_truncate(s: SparkSession, d: str) -> DataFrame:
     inputs, labels, n = sequences.next_event_example(F.col("ids"), 50)
-    return _seq(s, d).select("user_id", n.alias("length"), csv(inputs).alias("input_ids"), csv(labels).alias("label"))
+    return _seq(s, d, 51).select("user_id", n.alias("length"), csv(inputs).alias("input_ids"), csv(labels).alias("label"))
 
 
 @query(f"WITH {EV}, n AS (SELECT user_id, t, event_id, CASE WHEN lead(positive) OVER ({USER}) THEN lead(id) OVER ({USER}) ELSE 0 END AS l FROM ev) SELECT user_id, string_agg(l::VARCHAR, ',' ORDER BY t, event_id) AS labels FROM n GROUP BY user_id")
@@ -577,7 +579,7 @@ def conditional_labels(s: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_SEQ} SELECT user_id, array_to_string(ids[greatest(len(ids)-19, 1):], ',') AS forward, array_to_string(list_reverse(ids)[1:20], ',') AS backward FROM q")
 def chronological_toggle(s: SparkSession, d: str) -> DataFrame:
     ids = F.col("ids")
-    return _seq(s, d).select("user_id", csv(sequences.chronological(ids, 20)).alias("forward"), csv(sequences.chronological(ids, 20, False)).alias("backward"))
+    return _seq(s, d, 20).select("user_id", csv(sequences.chronological(ids, 20)).alias("forward"), csv(sequences.chronological(ids, 20, False)).alias("backward"))
 
 
 @query(f"WITH {_SEQ} SELECT count(*) AS n, count_if(len(ids) <> len(types) OR len(ids) <> len(ts)) AS n_mismatched FROM q")
@@ -589,7 +591,7 @@ def array_len_check(s: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_SEQ} SELECT user_id, ids[len(ids)] AS label_id, types[len(ids)] AS label_type FROM q")
 def last_item_label(s: SparkSession, d: str) -> DataFrame:
     last = F.size("ids") - 1
-    return _seq(s, d).select("user_id", F.get("ids", last).alias("label_id"), F.get("types", last).alias("label_type"))
+    return _seq(s, d, 1).select("user_id", F.get("ids", last).alias("label_id"), F.get("types", last).alias("label_type"))
 
 
 @query(f"WITH {_SEQ} SELECT user_id, array_to_string(ids[1:len(ids)-1], ',') AS input_ids, ids[len(ids)] AS label FROM q WHERE acts[len(acts)] > 0")
@@ -702,7 +704,10 @@ def domain_negatives(s: SparkSession, d: str) -> DataFrame:
 
 _BATCH = f"""{EV}, b AS (SELECT event_id // 64 AS batch, event_id % 64 AS place, user_id, id FROM ev), z AS (SELECT batch, count(*) AS n FROM b GROUP BY batch),
 asks AS (SELECT b.*, j, a, {h60('23', 'batch', 'place', 'j', 'a')} % n AS q FROM b JOIN z USING (batch), range(0, 3) r(j), range(0, 4) x(a)),
-got AS (SELECT k.batch, k.place, k.j, arg_min(m.id, k.a) AS negative FROM asks k JOIN b m ON m.batch = k.batch AND m.place = k.q WHERE m.user_id <> k.user_id AND m.id <> k.id GROUP BY ALL)"""
+tried AS (SELECT k.batch, k.place, k.j, arg_min(m.id, k.a) AS negative FROM asks k JOIN b m ON m.batch = k.batch AND m.place = k.q WHERE m.user_id <> k.user_id AND m.id <> k.id GROUP BY ALL),
+rest AS (SELECT DISTINCT batch, place, user_id, id, j FROM asks ANTI JOIN tried USING (batch, place, j)),
+got AS (SELECT * FROM tried UNION ALL SELECT k.batch, k.place, k.j, arg_min(m.id, ({h60('23', 'k.batch', 'k.place', 'k.j', chr(39) + 'rest' + chr(39), 'm.place')}, m.place)) AS negative
+  FROM rest k JOIN b m ON m.batch = k.batch WHERE m.user_id <> k.user_id AND m.id <> k.id GROUP BY ALL)"""
 
 
 def _batches(s: SparkSession, d: str) -> DataFrame:
@@ -881,6 +886,6 @@ def partial_shard_merge(s: SparkSession, d: str) -> DataFrame:
     return retrieval.latest(old, new, ["vec_id"])
 
 
-@query(None)
+@query("SELECT vec_id AS id, array_to_string(list_transform(embedding::DOUBLE[], lambda v: format('{:.6g}', v)), ' ') AS text FROM embeddings")
 def embedding_text(s: SparkSession, d: str) -> DataFrame:
     return retrieval.as_text(read(s, d, "embeddings"), "vec_id", "embedding")

@@ -52,3 +52,4 @@ class Registry:
 
 
 from sequora.plans import queries as _queries  # noqa: E402, F401  (fills the tables above)
+from sequora.plans import io_queries as _io_queries  # noqa: E402, F401

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -71,8 +72,8 @@ def rank_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RANK_RECORD).json(path)
 
 
-def metadata(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+def metadata(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return spark.read.option("multiLine", multi_line).json(path)
 
 
 def rows_between(df: DataFrame, column: str, first: int, end: int) -> DataFrame:
@@ -97,6 +98,45 @@ def arrays(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(_arrays, "path string, name string, row long, values array<double>")
 
 
+def _ranges(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs as afs
+
+    for batch in batches:
+        for r in batch.to_pylist():
+            fs, name = afs.FileSystem.from_uri(r["path"])
+            kind = np.dtype(r["kind"])
+            with fs.open_input_file(name) as f:
+                for first in range(r["first"], r["last"], step):
+                    n = min(step, r["last"] - first)
+                    raw = f.read_at(n * r["width"] * kind.itemsize, r["offset"] + first * r["width"] * kind.itemsize)
+                    values = np.frombuffer(raw, kind).astype(np.float64)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * r["width"]), pa.array(values))
+                    yield pa.RecordBatch.from_arrays([pa.array([r["path"]] * n), pa.array(np.arange(first, first + n)), lists], ["path", "row", "values"])
+
+
+def npy_rows(spark: SparkSession, folder: str, rows: int = 1 << 16, step: int = 4096) -> DataFrame:
+    """.npy files of two dimensions as (path, row, values), each read by ranges of `rows` rows, so files may be of any size.
+
+    Only headers are read on the driver.  The folder is one that pyarrow can open on the driver and the executors.
+    """
+    from pyarrow import fs as afs
+
+    fs, base = afs.FileSystem.from_uri(folder)
+    files = []
+    for info in fs.get_file_info(afs.FileSelector(base)):
+        if info.path.endswith(".npy"):
+            with fs.open_input_file(info.path) as f:
+                version = np.lib.format.read_magic(f)
+                shape, fortran, kind = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
+                if len(shape) != 2 or fortran:
+                    raise ValueError(f"{info.path}: not a two-dimensional array in row order")
+                files.append((f"{folder.rstrip('/')}/{info.base_name}", int(shape[0]), int(shape[1]), kind.str, f.tell()))
+    listed = spark.createDataFrame(files, "path string, n long, width int, kind string, offset long")
+    parts = listed.where("n > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(rows).cast("long"))).alias("first"))
+    parts = parts.withColumn("last", F.least(F.col("first") + rows, "n")).repartition("path", "first")
+    return parts.mapInArrow(partial(_ranges, step=step), "path string, row long, values array<double>")
+
+
 def synthetic_sequences(spark: SparkSession, users: int, shortest: int = 10, longest: int = 200, domains: int = 4, items: int = 1000, seed: int = 0) -> DataFrame:
     """Fixture sequences: (user_id, encoded_ids, timestamps_unix), the last event in domain 0."""
     from sequora.functions.text import hash60
@@ -108,3 +148,13 @@ def synthetic_sequences(spark: SparkSession, users: int, shortest: int = 10, lon
     ids = F.transform(F.sequence(F.lit(1), "n"), lambda i: F.when(i == F.col("n"), F.lit(0)).otherwise(draw(i, "d") % domains) * OFFSET + draw(i, "i") % items + 20)
     times = F.transform(F.sequence(F.lit(1), "n"), lambda i: (i.cast("long") * 60 + F.lit(1_700_000_000)))
     return u.select("user_id", ids.alias("encoded_ids"), times.alias("timestamps_unix"))
+
+
+def synthetic_embeddings(spark: SparkSession, items: int, width: int, domains: int = 4, seed: int = 42) -> DataFrame:
+    """Fixture embeddings: (domain_id, item_id, embedding), rows of length 1."""
+    from sequora.functions.arrays import l2_normalize
+    from sequora.functions.text import hash60
+
+    d = spark.range(items * domains).select(F.floor(F.col("id") / items).cast("int").alias("domain_id"), (F.col("id") % items).alias("item_id"))
+    values = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: hash60(seed, F.col("domain_id"), F.col("item_id"), j) / float(1 << 60) * 2 - 1)
+    return d.select("domain_id", "item_id", l2_normalize(values).alias("embedding"))

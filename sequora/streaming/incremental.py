@@ -32,3 +32,20 @@ def latest_sequences(stream: DataFrame, n: int) -> DataFrame:
         yield pd.DataFrame({"user_id": [key[0]], "n": [len(held)], "ids": [",".join(str(x[2]) for x in held)], "times": [",".join(str(x[0]) for x in held)]})
 
     return stream.groupBy("user_id").applyInPandasWithState(update, "user_id long, n int, ids string, times string", "t array<long>, event_id array<long>, id array<long>", "update", GroupStateTimeout.NoTimeout)
+
+
+def run_to_end(stream: DataFrame, path: str, state: str, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over all that is there and give its last result: of complete output the last batch, of updates each key's last row."""
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start()
+    q.awaitTermination()
+    spark = stream.sparkSession
+    out = spark.read.parquet(path)
+    fields = [c for c in out.columns if c != "batch"]
+    if mode == "complete":
+        return out.join(F.broadcast(out.agg(F.max("batch").alias("_last"))), F.col("batch") == F.col("_last")).select(*fields)  # one row
+    last = out.groupBy(*keys).agg(F.max_by(F.struct(*fields), "batch").alias("_r"))
+    return last.select(*(F.col(f"_r.{c}").alias(c) for c in fields))

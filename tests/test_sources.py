@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sequora.operators.taxonomy import FIVE_DOMAINS
@@ -40,6 +41,37 @@ def test_arrays_and_existence(spark, tmp_path):
     assert not readers.exists(spark, str(tmp_path / "none"))
 
 
+def test_npy_shards(spark, tmp_path):
+    """Half precision, rows at their places, zeros between them and after them, other headers, ranges that end within a file."""
+    rng = np.random.default_rng(1)
+    rows = [(d, i, [float(x) for x in rng.standard_normal(3)]) for d in (0, 4) for i in range(50) if i % 7]
+    df = spark.createDataFrame(rows, "shard long, row long, v array<double>")
+    writers.npy_shards(df, f"file://{tmp_path}/s", "shard", "row", "v", 3, rows=60)
+    for d in (0, 4):
+        got = np.load(tmp_path / "s" / f"shard_{d}.npy")
+        want = np.zeros((60, 3), np.float16)
+        for s, i, v in rows:
+            if s == d:
+                want[i] = v
+        assert got.dtype == np.float16 and np.array_equal(got, want)
+    back = readers.npy_rows(spark, f"file://{tmp_path}/s", rows=25, step=7).collect()
+    assert len(back) == 120 and all(np.array_equal(np.load(r.path.removeprefix("file://"))[r.row].astype(float), r["values"]) for r in back)
+    np.save(tmp_path / "flat.npy", np.arange(3))
+    with pytest.raises(ValueError, match="two-dimensional"):
+        readers.npy_rows(spark, f"file://{tmp_path}")
+
+
+def test_single_file_and_row_ranges(spark, tmp_path):
+    writers.single_file(spark, lambda to: spark.range(3).coalesce(1).selectExpr("cast(id as string) v").write.text(to), f"file://{tmp_path}/one.txt")
+    assert (tmp_path / "one.txt").read_text() == "0\n1\n2\n" and not [p for p in tmp_path.iterdir() if p.is_dir()]
+    with pytest.raises(ValueError, match="part files"):
+        writers.single_file(spark, lambda to: spark.range(4).repartition(2).selectExpr("cast(id as string) v").write.text(to), f"file://{tmp_path}/two.txt")
+    writers.row_ranges(spark.range(0, 230, 2), f"file://{tmp_path}/r", "id", 4, width=16)
+    got = spark.read.parquet(f"file://{tmp_path}/r").groupBy("part").agg(F.count("*"), F.min("id"), F.max("id")).collect()
+    assert sorted(map(tuple, got)) == [(0, 28, 0, 54), (1, 28, 56, 110), (2, 28, 112, 166), (3, 31, 168, 228)]
+    assert writers.finished(spark, f"file://{tmp_path}/r") and not writers.finished(spark, f"file://{tmp_path}/none")
+
+
 def test_writers(spark, tmp_path):
     df = spark.range(10).select("id", (F.col("id") % 2).alias("domain_id"), F.floor(F.col("id") / 5).alias("shard"), F.array(F.col("id").cast("double") / 3).alias("v"))
     writers.parquet(df, str(tmp_path / "p"), files=1)
