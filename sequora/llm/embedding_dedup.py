@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sequora.llm.runtime import connected_components, grouped, lean, materialise, ship
+from sequora.llm.runtime import connected_components, grouped, lean, materialise, numbered, place, ship
 from sequora.llm.vectors import common_length, packed, unpacked
 
 HOME_ROWS, ALL_ROWS = 2000, 8000
@@ -119,7 +119,8 @@ def near_duplicates(df: DataFrame, spark: SparkSession, threshold: float = 0.95,
     results: those of the vector with most links.
     """
     ship(spark)
-    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("e"))
+    plain = numbered(df)
+    rows = plain.select(F.col(place(df, "vec_id")).cast("long").alias("vec_id"), F.col(place(df, "embedding")).alias("e"))
     length = common_length(rows, "e")
     keyed = packed(rows.where("vec_id is not null"), length, "vec_id long, e binary")
     keyed = keyed.select("vec_id", "e", F.xxhash64("e").alias("h1"), F.xxhash64(F.lit(7), "e").alias("h2"))

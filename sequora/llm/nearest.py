@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sequora.llm.runtime import grouped, lean, materialise, ship
+from sequora.llm.runtime import fresh, grouped, lean, materialise, numbered, place, ship
 from sequora.llm.vectors import common_length, packed, unpacked
 
 HASHES = 96
@@ -132,7 +132,9 @@ def search(df: DataFrame, spark: SparkSession, queries: Column, k: int = 20, blo
     share an id, the first by bytes counts.  Ties go to the smaller id; with fewer than k candidates all are returned.
     """
     ship(spark)
-    rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.coalesce(queries, F.lit(False)).alias("q"), F.col("embedding").alias("e")).where("vec_id is not null")
+    asked, id_, vector = fresh(df, "asked"), place(df, "vec_id"), place(df, "embedding")
+    rows = df.withColumn(asked, F.coalesce(queries, F.lit(False)))
+    rows = numbered(rows).select(F.col(id_).cast("long").alias("vec_id"), F.col(place(rows, asked)).alias("q"), F.col(vector).alias("e")).where("vec_id is not null")
     length = common_length(rows, "e")
     rows = packed(rows, length, "vec_id long, q boolean, e binary").groupBy("vec_id").agg(F.min("e").alias("e"), F.max("q").alias("q"))
     rows = rows.select("vec_id", "q", "e").mapInArrow(partial(_sized, length=length), "vec_id long, q boolean, e binary, size double")

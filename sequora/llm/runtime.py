@@ -125,6 +125,14 @@ def drop_tables(spark: SparkSession) -> None:
     _delete(spark, shared_folder(spark))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name starting with `name` that the table does not have (names compare without case)."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def place(df: DataFrame, name: str) -> str:
     """In numbered(df), the name of a column: the one spelled the same, or else the first that differs in case only."""
     found = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]

@@ -153,10 +153,31 @@ def test_estimate_follows_similarity():
 
 
 def test_one_of_each(spark, odd):
+    """One row of each component; rows that share an id but not a text are compared as any others."""
     rows = rows_of(odd)
-    left = rows_of(minhash_dedup.one_of_each(odd, spark))
-    want = {d for d, _, c, kept in brute_components(rows, 5) if kept}
-    assert sorted(d for d, _ in left if d is not None) == sorted(want) and sum(d is None for d, _ in left) == 1
+    left = rows_of(minhash_dedup.one_of_each_row(odd, spark))
+    numbered = [(i, t) for i, (_, t) in enumerate(rows)]
+    groups = defaultdict(set)
+    for i, _, c, _ in brute_components(numbered, 5):
+        groups[c].add(i)
+    texts = {t: c for (i, t), (_, _, c, _) in zip(numbered, brute_components(numbered, 5), strict=True)}
+    got = Counter(texts[t] for _, t in left if t)
+    assert set(got.values()) == {1} and set(got) == {c for c, m in groups.items() if rows[c][1]}
+
+
+def test_shared_ids_and_far_blocks(spark, monkeypatch):
+    """Classes that share a doc_id are connected; a group of several blocks that falls apart is put together across them."""
+    a, b, c = passage(60, 3), passage(60, 5), passage(60, 7)
+    rows = [(5, a), (5, b), (3, a), (7, b), (9, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r)[:3:2] for r in minhash_dedup.near_duplicates(df, spark).collect()) == [(3, 3), (5, 3), (5, 3), (7, 3), (9, 9)]
+    monkeypatch.setattr(minhash_dedup, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(minhash_dedup, "BUCKET_ROWS", 4)
+    monkeypatch.setattr(minhash_dedup, "PIVOTS", 1)
+    words = [f"w{i}" for i in range(120)]  # a chain: neighbours are alike, others are not
+    chain = [(i, " ".join(words[3 * i : 3 * i + 60])) for i in range(20)]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(chain, "doc_id long, text string"), spark, shingle=2, percent=88).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_components(chain, 2, 88))
 
 
 def test_distinct_documents_with_null_and_reused_ids(spark):
@@ -633,6 +654,43 @@ def test_islands(spark):
     assert sum(r.pieces for r in got) == 3000 and all(r.least <= r.bins < r.first for r in got)
 
 
+# Other columns
+
+CLASHES = ["key", "key_", "found", "gone_", "row", "a.b", "Text", "DOC_ID", "c0_", "c1_", "n", "text_", "id", "copies", "k", "size"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """The odd table with columns named as operators name theirs, one with a dot, and two that differ from others in case only."""
+    rows = [(*r[:5], *(f"x{i}" for i in range(len(CLASHES)))) for r in odd_documents()[:24]]
+    names = ["doc_id", "text", "lang", "source", "n_chars", *CLASHES]
+    return spark.createDataFrame([(*r[:5], *r[5:]) for r in rows], "a0 long, a1 string, a2 string, a3 string, a4 long, " + ", ".join(f"a{i + 5} string" for i in range(len(CLASHES)))).toDF(*names)
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_with_clashing_names(spark, clashing, stage):
+    plain = clashing.toDF(*(f"c{i}" for i in range(len(clashing.columns)))).selectExpr("c0 doc_id", "c1 text", "c2 lang", "c3 source", "c4 n_chars")
+    f = dict(corpus_pipeline.STAGES)[stage]
+    got, want = f(spark, clashing, SF), f(spark, plain, SF)
+    if got.columns != want.columns:
+        assert got.columns == clashing.columns
+        assert all(tuple(r)[5:] == tuple(f"x{i}" for i in range(len(CLASHES))) for r in got.collect())
+        got = got.toDF(*(f"c{i}" for i in range(len(got.columns)))).selectExpr("c0 doc_id", "c1 text", "c2 lang", "c3 source", "c4 n_chars")
+    else:
+        got, want = got.drop("sequence_id", "offset"), want.drop("sequence_id", "offset")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_operators_with_clashing_names(spark, clashing):
+    plain = clashing.toDF(*(f"c{i}" for i in range(len(clashing.columns)))).selectExpr("c0 doc_id", "c1 text", "c3 source")
+    model = quality.Model()
+    for f in (lambda d: pii.digest(d, spark), lambda d: minhash_dedup.near_duplicates(d, spark), mixing.mix, lambda d: substring_dedup.remove_repeats(d, spark), lambda d: quality.score(d, model)):
+        assert sorted(map(repr, f(clashing).collect())) == sorted(map(repr, f(plain).collect()))
+    pages = spark.createDataFrame([(1, "u", "<p>Hello</p>", "x", "y", "z"), (2, "u", "<p>Hello</p>", "x", "y", "z")], "page_id long, url string, html string, a string, key string, digest string").withColumnRenamed("a", "HTML")
+    assert [r.text for r in html_text.extract(pages, spark).collect()] == ["Hello", "Hello"]
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(pages, spark).collect()) == [(1, "revisit", 2), (2, "response", None)]
+
+
 # Empty tables
 
 
