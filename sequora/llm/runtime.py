@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 BATCH_BYTES = 8 << 20
 #: Rows of one key that a join may send to one task, at least; keys with more are broadcast, at most so many.
-HOT_ROWS, HOT_KEYS = 1024, 1000
+HOT_ROWS, HOT_KEYS = 8192, 1000
+#: The same for links of a graph, which are small.
+HOT_LINKS = 1024
 _SHIPPED: set[str] = set()
 
 
@@ -179,14 +181,14 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def attach(rows: DataFrame, key: str, facts: DataFrame, at: str, n: str, most: int, total: int) -> DataFrame:
+def attach(rows: DataFrame, key: str, facts: DataFrame, at: str, n: str, most: int, total: int, least: int = HOT_ROWS) -> DataFrame:
     """rows joined (inner) to facts, one row for each value of `at`, on key = at; n in facts is the number of rows with that key,
     `most` the largest n and `total` their sum.
 
-    Keys with more rows than HOT_ROWS, and than a HOT_KEYS-th of all, are broadcast: there can be at most HOT_KEYS of them.
+    Keys with more rows than `least`, and than a HOT_KEYS-th of all, are broadcast: there can be at most HOT_KEYS of them.
     So no task gets more rows of one key than that, and the rows of a hot key stay where they are.
     """
-    bound = max(HOT_ROWS, total // HOT_KEYS)
+    bound = max(least, total // HOT_KEYS)
     if most <= bound:
         return rows.join(facts.drop(n), F.col(key) == F.col(at))
     hot = F.broadcast(facts.where(F.col(n) > bound).drop(n))
@@ -217,13 +219,13 @@ def connected_components(edges: DataFrame, spark: SparkSession) -> DataFrame:
         d = degrees(both)
         # large star: larger neighbours of u go to the smallest of u and its neighbours
         low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"), "n")
-        large = attach(both, "a", low, "u", "n", d.most, d.total).where("b > a").select(b.alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+        large = attach(both, "a", low, "u", "n", d.most, d.total, HOT_LINKS).where("b > a").select(b.alias("a"), F.col("m").alias("b")).where("a > b").distinct()
         # small star: u and its smaller neighbours go to the smallest of them
-        if d.most > HOT_ROWS:
+        if d.most > HOT_LINKS:
             large = tables.write(large)
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumnRenamed("a", "u")
-        most, total = (0, 0) if d.most <= HOT_ROWS else degrees(large)
-        small = attach(large, "a", low, "u", "n", most, total)
+        most, total = (0, 0) if d.most <= HOT_LINKS else degrees(large)
+        small = attach(large, "a", low, "u", "n", most, total, HOT_LINKS)
         small = small.select(b.alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a > b").distinct()
         past, now = now, tables.write(small)
         tables.drop(past, large)
