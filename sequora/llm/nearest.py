@@ -10,8 +10,9 @@ inner product in double precision.  Virtual rehashing widens the windows, level
 by level, until the query's k-th best distance is within the level's radius;
 should the last level not reach it, every row is verified.
 
-Blocks of rows meet chunks of queries, both of bounded size; a block's sorted
-arrays live in its task alone.  Each block gives its k best, which are merged.
+Blocks of rows, of bounded size, meet chunks of queries; a block's sorted arrays
+are made once in a task, and the chunk's queries stream through them.  Each
+block gives its k best, which are merged.
 """
 
 from __future__ import annotations
@@ -109,22 +110,32 @@ def _sized(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
 
 
 @lean
-def _search(batches: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.RecordBatch]:
-    for rows in grouped(batches, ["block", "chunk"]):
-        rows = rows.combine_chunks()
-        asks = rows["asks"].to_numpy(zero_copy_only=False)
-        x, ids = unpacked(rows["e"], length), rows["vec_id"].to_numpy()
-        if asks.all() or not asks.any():
-            continue
-        data = np.flatnonzero(~asks)
-        data = data[np.argsort(ids[data], kind="stable")]
-        index = SortedProjections(x[data], float(np.linalg.norm(x[data], axis=1).max()))
-        ask, found = np.flatnonzero(asks), ids[data]
-        out = index.nearest(x[ask], found, ids[ask], k)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[ask], [len(r) for r, _ in out])), pa.array(np.concatenate([found[r] for r, _ in out])), pa.array(np.concatenate([s for _, s in out]))], ["query_id", "vec_id", "score"])
-
-
-def search(df: DataFrame, spark: SparkSession, queries: Column, k: int = 20, block_rows: int = 8192, chunk_rows: int = 2048) -> DataFrame:
+def _search(batches: Iterator[pa.RecordBatch], length: int, k: int, step: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (block, chunk), a block's rows before its queries: its index is made once, queries stream through it."""
+    key, index, found, rows = None, None, None, []
+    for batch in batches:
+        for part in grouped(iter([batch]), ["block", "chunk", "asks"]):
+            part = part.combine_chunks()
+            here = part["block"][0].as_py(), part["chunk"][0].as_py()
+            if here != key:
+                key, index, rows = here, None, []
+            x, ids = unpacked(part["e"], length), part["vec_id"].to_numpy()
+            if not part["asks"][0].as_py():
+                rows.append((x, ids))
+                continue
+            if not rows:
+                continue
+            if index is None:
+                x_, found = (np.concatenate(v) for v in zip(*rows, strict=True))
+                order = np.argsort(found, kind="stable")
+                found = found[order]
+                index = SortedProjections(x_[order], float(np.linalg.norm(x_, axis=1).max()))
+            for i in range(0, len(ids), step):
+                out = index.nearest(x[i : i + step], found, ids[i : i + step], k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i : i + step], [len(r) for r, _ in out])), pa.array(np.concatenate([found[r] for r, _ in out])), pa.array(np.concatenate([v for _, v in out]))], ["query_id", "vec_id", "score"])
+
+
+def search(df: DataFrame, spark: SparkSession, queries: Column, k: int = 20, block_rows: int = 8192, chunk_rows: int = 16_384) -> DataFrame:
     """For each row of df (vec_id, embedding, any others) where `queries` holds: query_id, rank, vec_id, score of its k nearest.
 
     Candidates are all rows but those with the query's own id.  Vectors that are null, empty or zero, or hold null or
@@ -154,7 +165,7 @@ def search(df: DataFrame, spark: SparkSession, queries: Column, k: int = 20, blo
     blocks = sum(parts)
     data = rows.select(block.alias("block"), every(chunks).alias("chunk"), F.lit(False).alias("asks"), "vec_id", "e")
     asked = rows.where("q").select(every(blocks).alias("block"), part(F.lit(chunks), 2).alias("chunk"), F.lit(True).alias("asks"), "vec_id", "e")
-    dealt = data.unionByName(asked).repartition(min(4096, blocks * chunks), "block", "chunk").sortWithinPartitions("block", "chunk")
+    dealt = data.unionByName(asked).repartition(blocks * chunks, "block", "chunk").sortWithinPartitions("block", "chunk", "asks")
     found = dealt.mapInArrow(partial(_search, length=length, k=k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -125,6 +125,24 @@ def test_nearest(spark, table):
     assert hits >= 0.95 * 300
 
 
+def test_recall_of_each_query(spark):
+    """The registered query on the largest test table: mean recall and that of the worst query."""
+    from sequora.llm.queries import op4_nearest_products
+
+    d = "/root/testdata/sf0.1"
+    rows = sorted(spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").collect())
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got = {}
+    for r in op4_nearest_products(spark, d).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = []
+    for q in ids[ids % 20 == 0].tolist():
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        recall.append(len(got[q] & set(ids[np.lexsort((ids, -s))[:20]].tolist())) / 20)
+    assert np.mean(recall) >= 0.97 and min(recall) >= 0.85, (np.mean(recall), min(recall))
+
+
 def test_nearest_recall_over_blocks(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((6000, 32)) * rng.uniform(0.5, 2, (6000, 1))
