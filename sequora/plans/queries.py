@@ -169,11 +169,20 @@ def users_with_positive(s: SparkSession, d: str) -> DataFrame:
     return clean.with_any(rows, "o_orderpriority", ["1-URGENT"]).select("o_custkey", F.size("o_orderpriority").cast("long").alias("n"))
 
 
-@query(f"WITH {EV} SELECT count(*) AS n_rows, count_if(k % 10 = 0) AS n_missing FROM ev")
+_FREQUENT = f"{EV}, f AS (SELECT domain, text, count(*) AS c FROM ev GROUP BY ALL), vocab AS (SELECT domain, text, row_number() OVER (PARTITION BY domain ORDER BY text) + 19 AS item_id FROM f WHERE c >= (SELECT avg(c) FROM f))"
+
+
+def _frequent(e: DataFrame) -> DataFrame:
+    """A vocabulary of the texts that are met as often as the average one, or more."""
+    counts = e.groupBy("domain", "text").agg(F.count("*").alias("c"))
+    mean = counts.agg(F.avg("c").alias("mean"))
+    return vocab.build(counts.crossJoin(mean).where("c >= mean"), ["text"], "domain")
+
+
+@query(f"WITH {_FREQUENT} SELECT count(*) AS n_rows, count_if(v.text IS NULL) AS n_missing FROM ev LEFT JOIN vocab v USING (domain, text)")
 def vocab_miss_count(s: SparkSession, d: str) -> DataFrame:
     e = events(s, d)
-    known = vocab.build(e.where("k % 10 <> 0"), ["text"], "domain")
-    return vocab.misses(e, known, ["domain", "text"])
+    return vocab.misses(e, _frequent(e), ["domain", "text"])
 
 
 @query(f"WITH {EV} SELECT event_id, id > 0 AND id < 1000000000 AS in_0, id >= 2000000000 AND id < 3000000000 AS in_2 FROM ev")
@@ -229,10 +238,10 @@ def join_vocab(s: SparkSession, d: str) -> DataFrame:
     return joined.select("event_id", "item_id", vocab.encode(F.col("domain"), F.col("item_id")).alias("encoded_id"))
 
 
-@query(f"WITH {_VOCAB} SELECT e.event_id, v.item_id FROM ev e JOIN vocab v USING (domain, text) WHERE v.item_id % 3 <> 0")
+@query(f"WITH {_FREQUENT} SELECT e.event_id, v.item_id FROM ev e JOIN vocab v USING (domain, text)")
 def join_vocab_inner(s: SparkSession, d: str) -> DataFrame:
     e = events(s, d)
-    return vocab.attach(e, vocab.build(e, ["text"], "domain").where("item_id % 3 <> 0"), ["domain", "text"], "inner").select("event_id", "item_id")
+    return vocab.attach(e, _frequent(e), ["domain", "text"], "inner").select("event_id", "item_id")
 
 
 @query(f"WITH {EV} SELECT event_id, id FROM ev WHERE domain = 0 UNION ALL SELECT event_id, id FROM ev WHERE domain = 1 UNION ALL SELECT event_id, id FROM ev WHERE domain = 2")
@@ -387,9 +396,9 @@ def last_value_dedup(s: SparkSession, d: str) -> DataFrame:
     return retrieval.last_by_id(events(s, d), "id", "event_id", "value")
 
 
-@query("WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings WHERE vec_id % 7 <> 0) SELECT label, pos::INT AS pos, round(avg(v), 6) AS mean FROM x GROUP BY label, pos")
+@query("WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings WHERE embedding IS NOT NULL) SELECT label, pos::INT AS pos, round(avg(v), 6) AS mean FROM x GROUP BY label, pos")
 def mean_pooling(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.mean_pool(read(s, d, "embeddings"), "label", "embedding", F.col("vec_id") % 7 != 0).withColumn("mean", r6("mean"))
+    return retrieval.mean_pool(read(s, d, "embeddings"), "label", "embedding", F.col("embedding").isNotNull()).withColumn("mean", r6("mean"))
 
 
 # Ranking reports ---------------------------------------------------------------------------------------------------------
@@ -853,18 +862,18 @@ def sharded_topk(s: SparkSession, d: str) -> DataFrame:
     return retrieval.topk("sharded", queries, items, "label", 50).select("query_id", "item_id", "rank")
 
 
-@query(f"WITH {_ASK}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS i FROM sc), r AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM p WHERE i <= 110 AND item_id % 50 <> 0) SELECT query_id, item_id, rank::INT AS rank FROM r WHERE rank <= 50")
+@query(f"WITH {_ASK}, r AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM sc WHERE item_id % 50 <> 0) SELECT query_id, item_id, rank::INT AS rank FROM r WHERE rank <= 50")
 def topk_exclude_seen(s: SparkSession, d: str) -> DataFrame:
     queries, items = _asked(s, d)
     seen = queries.select(F.col("id").alias("query_id")).crossJoin(items.where("id % 50 = 0").select(F.col("id").alias("item_id")))
     return retrieval.topk_unseen(queries, items, seen, 50).select("query_id", "item_id", "rank")
 
 
-@query("WITH x AS (SELECT vec_id // 16 AS shard, vec_id % 16 AS row_id, embedding FROM embeddings WHERE vec_id % 3 <> 0), e AS (SELECT DISTINCT shard, r AS row_id FROM x, range(0, 16) t(r)) SELECT e.shard, e.row_id::INT AS row_id, coalesce(round(x.embedding[1]::DOUBLE, 6), 0) AS first_value FROM e LEFT JOIN x USING (shard, row_id)")
+@query("WITH x AS (SELECT vec_id // 48 AS shard, vec_id % 48 AS row_id, embedding FROM embeddings), e AS (SELECT DISTINCT shard, r AS row_id FROM x, range(0, 48) t(r)) SELECT e.shard, e.row_id::INT AS row_id, coalesce(round(x.embedding[1]::DOUBLE, 6), 0) AS first_value FROM e LEFT JOIN x USING (shard, row_id)")
 def dense_shard(s: SparkSession, d: str) -> DataFrame:
-    shard, row = retrieval.shard_of(F.col("vec_id"), 16)
-    held = read(s, d, "embeddings").where("vec_id % 3 <> 0").select(shard.alias("shard"), row.cast("int").alias("row_id"), "embedding")
-    return retrieval.dense(held, "shard", "row_id", "embedding", 64, 16).select("shard", "row_id", r6(F.get("embedding", F.lit(0)).cast("double")).alias("first_value"))
+    shard, row = retrieval.shard_of(F.col("vec_id"), 48)
+    held = read(s, d, "embeddings").select(shard.alias("shard"), row.cast("int").alias("row_id"), "embedding")
+    return retrieval.dense(held, "shard", "row_id", "embedding", 64, 48).select("shard", "row_id", r6(F.get("embedding", F.lit(0)).cast("double")).alias("first_value"))
 
 
 @query(
