@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from sequora.llm.runtime import connected_components, grouped, lean, materialise, numbered, place, ship
 from sequora.llm.vectors import common_length, packed, unpacked
 
-HOME_ROWS, ALL_ROWS = 2000, 8000
+HOME_ROWS, ALL_ROWS = 4000, 16_384
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
