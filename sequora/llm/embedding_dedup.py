@@ -73,8 +73,8 @@ def block_links(a: np.ndarray, b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarr
     ids, place = np.unique(np.concatenate([ids_a, ids_b]), return_inverse=True)
     in_a, in_b = place[: len(a)], place[len(a) :]
     links_a, links_b, label = np.zeros(len(a)), np.zeros(len(b)), np.arange(len(ids))
-    for i in range(0, len(a), 512):
-        s = unit_a[i : i + 512] @ unit_b.T
+    for i in range(0, len(a), 256):
+        s = unit_a[i : i + 256] @ unit_b.T
         near = s >= threshold - 1e-5
         r, c = np.nonzero(near & (s <= threshold + 1e-5))  # decided in double precision
         if len(r):
@@ -82,11 +82,11 @@ def block_links(a: np.ndarray, b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarr
         rows = np.flatnonzero(near.any(1))
         if not len(rows):
             continue
-        near[rows] &= in_a[i + rows][:, None] != in_b[None]
-        links_a[i : i + 512] += near @ copies_b
-        links_b += copies_a[i : i + 512] @ near
-        for r in rows[near[rows].any(1)].tolist():
-            met = np.unique(np.append(label[in_b[near[r]]], label[in_a[i + r]]))
+        near = near[rows] & (in_a[i + rows][:, None] != in_b[None])
+        links_a[i + rows] += near @ copies_b
+        links_b += copies_a[i + rows] @ near
+        for r in np.flatnonzero(near.any(1)).tolist():
+            met = np.unique(np.append(label[in_b[near[r]]], label[in_a[i + rows[r]]]))
             if len(met) > 1:
                 label[np.isin(label, met)] = met[0]
     return np.rint(links_a).astype(np.int64), np.rint(links_b).astype(np.int64), ids, ids[label]
