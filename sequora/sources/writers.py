@@ -165,8 +165,11 @@ def npy_shards(df: DataFrame, path: str, shard: str, row: str, vector: str, widt
 
     A shard is written by one task as its sorted rows stream through, so it may be larger than memory; it gets its name when
     it is whole.  `rows`: of every shard; else up to its last row.  The path is one that pyarrow can open on the executors.
+
+    The window is what brings a shard's rows to one task: adaptive execution may drop a repartition() beside a join on the same
+    key and then read the join's side where it lies, but it keeps what an operator requires.
     """
     kept = df.select(F.col(shard).cast("long").alias("shard"), F.col(row).cast("long").alias("row"), F.col(vector).cast("array<double>").alias("v"))
-    sizes = kept.groupBy(F.col("shard").alias("_s")).agg((F.max("row") + 1).alias("total"))
-    dealt = kept.join(sizes, F.col("shard") == F.col("_s")).drop("_s").repartition("shard").sortWithinPartitions("shard", "row")
+    whole = Window.partitionBy("shard").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    dealt = kept.where("shard is not null").withColumn("total", F.max("row").over(whole) + 1).sortWithinPartitions("shard", "row")
     dealt.mapInArrow(partial(_npy, folder=path, width=width, dtype=dtype, rows=rows), "shard long, rows long").collect()  # a row for each file

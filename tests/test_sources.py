@@ -61,6 +61,23 @@ def test_npy_shards(spark, tmp_path):
         readers.npy_rows(spark, f"file://{tmp_path}")
 
 
+def test_npy_shard_is_written_by_one_task(spark, tmp_path):
+    """Also where adaptive execution makes joins on the shard broadcast ones and reads their sides in place."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "20k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    past = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(0, 1000, 1, 4).selectExpr("id % 40 as shard", "id div 40 as row", "array(id + 1.0D, -id) as v")
+        writers.npy_shards(df, f"file://{tmp_path}/s", "shard", "row", "v", 2, dtype="float32")
+    finally:
+        for k, v in past.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    for d in range(40):
+        ids = np.arange(d, 1000, 40)
+        assert np.array_equal(np.load(tmp_path / "s" / f"shard_{d}.npy"), np.stack([ids + 1, -ids], 1))
+
+
 def test_single_file_and_row_ranges(spark, tmp_path):
     writers.single_file(spark, lambda to: spark.range(3).coalesce(1).selectExpr("cast(id as string) v").write.text(to), f"file://{tmp_path}/one.txt")
     assert (tmp_path / "one.txt").read_text() == "0\n1\n2\n" and not [p for p in tmp_path.iterdir() if p.is_dir()]
