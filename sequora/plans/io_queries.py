@@ -103,8 +103,9 @@ def _vectors(s: SparkSession, d: str) -> DataFrame:
 
 def _read_back(rows: DataFrame) -> DataFrame:
     shard = F.regexp_extract("path", r"shard_([0-9]+)\.npy", 1).cast("long")
-    total = F.aggregate("values", F.lit(0.0), lambda a, v: a + v)
-    return rows.select(shard.alias("shard"), "row", r6(F.get("values", F.lit(0))).alias("first_value"), F.round(total, 4).alias("total"))
+    rows = rows.select(shard.alias("shard"), "row", F.get("values", F.lit(0)).alias("first"), F.aggregate("values", F.lit(0.0), lambda a, v: a + v).alias("sum"))
+    signed = lambda rounded, x: F.when(rounded == 0, x * 0.0).otherwise(rounded)  # noqa: E731  (SQL's round keeps the sign of zero)
+    return rows.select("shard", "row", signed(r6("first"), F.col("first")).alias("first_value"), signed(F.round("sum", 4), F.col("sum")).alias("total"))
 
 
 @query(f"SELECT {_ROWS} FROM embeddings")

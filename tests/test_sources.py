@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sequora.operators.taxonomy import FIVE_DOMAINS
+from sequora.plans import io_queries
 from sequora.plans.pipeline import event_pipeline
 from sequora.sources import readers, writers
 from sequora.streaming import incremental
@@ -78,6 +79,11 @@ def test_npy_shard_is_written_by_one_task(spark, tmp_path):
         assert np.array_equal(np.load(tmp_path / "s" / f"shard_{d}.npy"), np.stack([ids + 1, -ids], 1))
 
 
+def test_npy_read_back_keeps_the_sign_of_zero(spark):
+    rows = spark.createDataFrame([("s/shard_1.npy", 0, [-1e-7, 1e-7 - 1e-5]), ("s/shard_1.npy", 1, [1e-7, 0.0])], "path string, row long, values array<double>")
+    assert sorted(map(repr, map(tuple, io_queries._read_back(rows).collect()))) == ["(1, 0, -0.0, -0.0)", "(1, 1, 0.0, 0.0)"]
+
+
 def test_single_file_and_row_ranges(spark, tmp_path):
     writers.single_file(spark, lambda to: spark.range(3).coalesce(1).selectExpr("cast(id as string) v").write.text(to), f"file://{tmp_path}/one.txt")
     assert (tmp_path / "one.txt").read_text() == "0\n1\n2\n" and not [p for p in tmp_path.iterdir() if p.is_dir()]
