@@ -3,14 +3,18 @@
 Equal vectors are one class from the start (combined before the shuffle).
 Centroids are fitted on the driver from a sample of at most `sample` classes,
 those with the smallest hash; every class is assigned.  A class is at home in
-the cell of its nearest centroid, and visits each cell of smaller number whose
-boundary with its own is nearer than `reach`.  Linked vectors on either side of
-a boundary are at most sqrt(2 - 2 * threshold) apart, so neither is farther than
-that from the boundary: this reach, the default, misses no pair.
-
-A cell's home rows meet all its rows, in blocks of bounded size; blocks give
-each row's number of links and one link to its block's component, never a list
-of pairs.  Vectors travel as bytes.
+the cell of its nearest centroid, and visits each cell whose boundary with its
+own is nearer than half of `reach`.  Linked vectors on either side of a boundary
+are together at most sqrt(2 - 2 * threshold) from it, so the nearer of the two
+is within half of that and visits the other's cell: this reach, the default,
+misses no pair.  A pair whose ends visit each other's cells counts in the cell
+of smaller number.
+
+Cells lie in blocks of a bounded number of home rows, neighbours together (a
+larger cell has several blocks of its own).  A row goes once to each block that
+has a cell it visits, and meets only the home rows of cells it visits.  Blocks
+give each row's number of links and one link to its block's component, never a
+list of pairs.  Vectors travel as bytes, in single precision if so stored.
 """
 
 from __future__ import annotations
@@ -22,11 +26,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from sequora.llm.runtime import connected_components, grouped, lean, materialise, numbered, place, ship
-from sequora.llm.vectors import common_length, packed, unpacked
+from sequora.llm.vectors import common_length, flat_bytes, packed, unpacked
 
-HOME_ROWS, ALL_ROWS = 4000, 16_384
+#: Home rows of a block and rows that meet them in one task, at most (of 64 single-precision components; fewer of longer vectors).
+HOME_ROWS, ALL_ROWS = 65_536, 131_072
+BLOCK_BYTES = 16 << 20
+#: Bytes of a batch that leaves a worker, and rows and columns of a matrix of cosines.
+OUT_BYTES, ROWS, COLUMNS = 4 << 20, 1024, 4096
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -49,62 +58,161 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> n
     return c
 
 
-def _assign(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, reach: float) -> Iterator[pa.RecordBatch]:
-    apart = np.linalg.norm(centroids[:, None] - centroids[None], axis=2)
+def _assign(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, reach: float, kind: type) -> Iterator[pa.RecordBatch]:
+    """home: the nearest centroid; cells: a bit for it and for each cell that the row visits."""
+    apart = np.stack([np.linalg.norm(centroids - c, axis=1) for c in centroids])
+    for whole in batches:
+        for i in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(i, ROWS)
+            x = unpacked(batch.column("e"), centroids.shape[1], kind).astype(np.float64)
+            s = (x / np.linalg.norm(x, axis=1)[:, None]) @ centroids.T
+            home = s.argmax(1)
+            cells = s[np.arange(len(s)), home][:, None] - s <= reach / 2 * apart[home]
+            cells[np.arange(len(s)), home] = True
+            bits = np.packbits(cells, axis=1)
+            yield batch.append_column("home", pa.array(home.astype(np.int32))).append_column("cells", pa.array([r.tobytes() for r in bits], pa.binary()))
+
+
+def _bits(column: pa.ChunkedArray | pa.Array, k: int) -> np.ndarray:
+    return flat_bytes(column).reshape(-1, -(-k // 8))
+
+
+def _counts(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    home, rows = np.zeros(k, np.int64), np.zeros(k, np.int64)
+    for batch in batches:
+        home += np.bincount(batch.column("home").to_numpy(), minlength=k)
+        for i in range(0, batch.num_rows, ROWS):
+            rows += np.unpackbits(_bits(batch.column("cells").slice(i, ROWS), k), axis=1, count=k).sum(0, dtype=np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(home), pa.array(rows)], ["cell", "home", "rows"])
+
+
+def blocks_of_cells(centroids: np.ndarray, home: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first block of each cell and its number of blocks: cells near each other share a block of at most `most` home rows, a
+    larger cell has several; a cell without home rows has none."""
+    first, number = np.zeros(len(home), np.int64), -(-home // most)
+    left = home > 0
+    at = 0
+    for c in np.flatnonzero(number > 1):
+        first[c], left[c] = at, False
+        at += number[c]
+    while left.any():
+        c = int(np.flatnonzero(left)[0])
+        seed, held = centroids[c].copy(), 0
+        while c >= 0 and held + home[c] <= most:
+            first[c], left[c], held = at, False, held + home[c]
+            seed += centroids[c]
+            rest = np.flatnonzero(left)
+            c = int(rest[(centroids[rest] @ seed).argmax()]) if len(rest) else -1
+        at += 1
+    return first, number
+
+
+def _deal(batches: Iterator[pa.RecordBatch], first: np.ndarray, number: np.ndarray, parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row goes as a home row to all parts of its block, and to one part of each block that has a cell it visits (its own too)."""
+    k = len(first)
+    has = np.zeros((k, len(parts)), bool)  # the blocks of each cell
+    for c in range(k):
+        has[c, first[c] : first[c] + number[c]] = True
+    has = has.astype(np.float32)
+    start = np.concatenate([[0], np.cumsum(parts)])
     for batch in batches:
         if not batch.num_rows:
             continue
-        x = unpacked(batch.column("e"), centroids.shape[1])
-        s = (x / np.linalg.norm(x, axis=1)[:, None]) @ centroids.T
-        home = s.argmax(1)
-        gap = s[np.arange(len(s)), home][:, None] - s
-        visits = (gap <= reach * apart[home]) & (np.arange(len(centroids)) < home[:, None])
-        visits[np.arange(len(s)), home] = True
-        row, cell = np.nonzero(visits)
-        at = pa.array(row)
-        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(cell == home[row]), batch.column("rep").take(at), batch.column("copies").take(at), batch.column("e").take(at)], ["cell", "home", "rep", "copies", "e"])
-
-
-def block_links(a: np.ndarray, b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, copies_a: np.ndarray, copies_b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Links (counted in copies) of a's rows to b's and of b's to a's, where the cosine is at least the threshold and ids differ;
-    and the ids of both with the smallest id of each one's component."""
-    size_a, size_b = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-    unit_a, unit_b = (a / size_a[:, None]).astype(np.float32), (b / size_b[:, None]).astype(np.float32)
-    ids, place = np.unique(np.concatenate([ids_a, ids_b]), return_inverse=True)
-    in_a, in_b = place[: len(a)], place[len(a) :]
-    links_a, links_b, label = np.zeros(len(a)), np.zeros(len(b)), np.arange(len(ids))
-    for i in range(0, len(a), 256):
-        s = unit_a[i : i + 256] @ unit_b.T
-        near = s >= threshold - 1e-5
-        r, c = np.nonzero(near & (s <= threshold + 1e-5))  # decided in double precision
-        if len(r):
-            near[r, c] = (a[i + r] * b[c]).sum(1) / (size_a[i + r] * size_b[c]) >= threshold
-        rows = np.flatnonzero(near.any(1))
-        if not len(rows):
-            continue
-        near = near[rows] & (in_a[i + rows][:, None] != in_b[None])
-        links_a[i + rows] += near @ copies_b
-        links_b += copies_a[i + rows] @ near
-        for r in np.flatnonzero(near.any(1)).tolist():
-            met = np.unique(np.append(label[in_b[near[r]]], label[in_a[i + rows[r]]]))
-            if len(met) > 1:
-                label[np.isin(label, met)] = met[0]
-    return np.rint(links_a).astype(np.int64), np.rint(links_b).astype(np.int64), ids, ids[label]
+        each = batch.nbytes // batch.num_rows + 64
+        step = int(np.clip(OUT_BYTES // (each * len(parts)), 1, ROWS))
+        for i in range(0, batch.num_rows, step):
+            some = batch.slice(i, step)
+            home, h = some.column("home").to_numpy(), some.column("h2").to_numpy().view(np.uint64)
+            cells = np.unpackbits(_bits(some.column("cells"), k), axis=1, count=k).astype(np.float32)
+            row, block = np.nonzero(cells @ has > 0)
+            part = (h[row] % parts[block].astype(np.uint64)).astype(np.int64)
+            own = first[home] + (h // np.uint64(1 << 32) % np.maximum(number[home], 1).astype(np.uint64)).astype(np.int64)
+            own_row = np.repeat(np.arange(len(home)), parts[own])
+            own_part = np.concatenate([np.arange(n) for n in parts[own]])
+            place = np.concatenate([start[own[own_row]] + own_part, start[block] + part])
+            at, visitor = np.concatenate([own_row, row]), np.repeat([0, 1], [len(own_row), len(row)])
+            out = some.drop_columns(["h1", "h2"]).take(pa.array(at))
+            for j in range(0, len(at), max(1, OUT_BYTES // each)):
+                cut = slice(j, j + max(1, OUT_BYTES // each))
+                piece = out.slice(cut.start, cut.stop - cut.start)
+                yield pa.RecordBatch.from_arrays([pa.array(place[cut].astype(np.int32)), pa.array(visitor[cut].astype(np.int32)), *piece.columns], ["place", "visitor", *piece.schema.names])
+
+
+class _Forest:
+    """Components of ids (sorted): each points at a smaller one of its component."""
+
+    def __init__(self, ids: np.ndarray):
+        self.ids, self.up = ids, np.arange(len(ids))
+
+    def roots(self, at: np.ndarray) -> np.ndarray:
+        now = self.up[at]
+        while (self.up[now] != now).any():
+            now = self.up[now]
+        self.up[at] = now
+        return now
+
+    def join(self, at: np.ndarray) -> None:
+        met = self.roots(at)
+        self.up[met] = met.min()
+
+
+def block_links(home: dict[str, np.ndarray], others: dict[str, np.ndarray], threshold: float, k: int) -> tuple[np.ndarray, np.ndarray, _Forest]:
+    """Links (counted in copies) of home rows to others and of others to home rows, where the cosine is at least the threshold, ids
+    differ, the other visits the home row's cell, and the pair isn't counted in a cell of smaller number; and components of both.
+
+    Both have e, id, copies, home, cells; home rows are sorted by home.
+    """
+    a, b = home["e"], others["e"]
+    unit = lambda x: (x / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]).astype(np.float32)
+    unit_a = unit(a)
+    ids, at = np.unique(np.concatenate([home["id"], others["id"]]), return_inverse=True)
+    in_a, in_b, forest = at[: len(a)], at[len(a) :], _Forest(ids)
+    links_a, links_b = np.zeros(len(a)), np.zeros(len(b))
+    cells, begins = np.unique(home["home"], return_index=True)
+    spans = [(c, i, min(i + COLUMNS, end)) for c, begin, end in zip(cells.tolist(), begins, [*begins[1:], len(a)], strict=True) for i in range(begin, end, COLUMNS)]
+    for first in range(0, len(b), ROWS):
+        unit_b = unit(b[first : first + ROWS])
+        visits = np.unpackbits(others["cells"][first : first + ROWS], axis=1, count=k)
+        for cell, lo, hi in spans:
+            rows = np.flatnonzero(visits[:, cell])
+            s = unit_b[rows] @ unit_a[lo:hi].T
+            some = np.flatnonzero(s.max(1, initial=-1) >= threshold - 1e-5)
+            rows, s = rows[some] + first, s[some]
+            near = (s >= threshold - 1e-5) & (in_b[rows][:, None] != in_a[None, lo:hi])
+            if (lower := np.flatnonzero(others["home"][rows] < cell)).size:  # where the home row visits that cell, the pair counts there
+                of = others["home"][rows[lower]]
+                near[lower] &= (home["cells"][lo:hi, of >> 3] >> (7 - (of & 7)).astype(np.uint8) & 1).T == 0
+            r, c = np.nonzero(near & (s <= threshold + 1e-5))  # decided in double precision
+            for i in range(0, len(r), 1 << 16):
+                x, y = b[rows[r[i : i + (1 << 16)]]].astype(np.float64), a[lo + c[i : i + (1 << 16)]].astype(np.float64)
+                near[r[i : i + (1 << 16)], c[i : i + (1 << 16)]] = (x * y).sum(1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)) >= threshold
+            keep = np.flatnonzero(near.any(1))
+            rows, near = rows[keep], near[keep]
+            links_b[rows] += near @ home["copies"][lo:hi]
+            mine = np.where(others["home"][rows] == cell, 0, others["copies"][rows])
+            links_a[lo:hi] += mine @ near
+            for i, row in enumerate(rows.tolist()):
+                forest.join(np.append(in_a[lo:hi][near[i]], in_b[row]))
+    return np.rint(links_a).astype(np.int64), np.rint(links_b).astype(np.int64), forest
 
 
 @lean
-def _compare(batches: Iterator[pa.RecordBatch], length: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    for rows in grouped(batches, ["cell", "p", "q"]):
-        rows = rows.combine_chunks()
-        first, home = (rows[c].to_numpy(zero_copy_only=False) for c in ("first", "home"))
-        x = unpacked(rows["e"], length)
-        ids, copies = rows["rep"].to_numpy(), rows["copies"].to_numpy().astype(np.float64)
-        a, b = np.flatnonzero(first), np.flatnonzero(~first)
-        links_a, links_b, names, roots = block_links(x[a], x[b], ids[a], ids[b], copies[a], copies[b], threshold)
-        links_b[home[b]] = 0  # a home row counts its links where it is of the first side
-        moved = np.flatnonzero(names != roots)
-        out = np.concatenate([ids[a], ids[b], names[moved]])
-        root = np.concatenate([ids[a], ids[b], roots[moved]])
+def _compare(batches: Iterator[pa.RecordBatch], length: int, threshold: float, k: int, kind: type) -> Iterator[pa.RecordBatch]:
+    home: dict[str, np.ndarray] = {}
+    for rows in grouped(batches, ["place", "visitor"]):
+        got = {"e": unpacked(rows["e"], length, kind), "id": rows["rep"].to_numpy(), "copies": rows["copies"].to_numpy().astype(np.float64), "home": rows["home"].to_numpy(), "cells": _bits(rows["cells"], k)}
+        place, visitor = rows["place"][0].as_py(), rows["visitor"][0].as_py()
+        if not visitor:
+            order, now = np.argsort(got["home"], kind="stable"), place
+            home = {name: v[order] for name, v in got.items()}
+            continue
+        if not home or now != place:
+            continue
+        links_a, links_b, forest = block_links(home, got, threshold, k)
+        roots = forest.ids[forest.roots(np.arange(len(forest.ids)))]
+        moved = np.flatnonzero(forest.ids != roots)
+        out = np.concatenate([home["id"], got["id"], forest.ids[moved]])
+        root = np.concatenate([home["id"], got["id"], roots[moved]])
         links = np.concatenate([links_a, links_b, np.zeros(len(moved), np.int64)])
         keep = np.flatnonzero((links > 0) | (out != root))
         yield pa.RecordBatch.from_arrays([pa.array(out[keep]), pa.array(root[keep]), pa.array(links[keep])], ["a", "b", "links"])
@@ -122,28 +230,36 @@ def near_duplicates(df: DataFrame, spark: SparkSession, threshold: float = 0.95,
     plain = numbered(df)
     rows = plain.select(F.col(place(df, "vec_id")).cast("long").alias("vec_id"), F.col(place(df, "embedding")).alias("e"))
     length = common_length(rows, "e")
-    keyed = packed(rows.where("vec_id is not null"), length, "vec_id long, e binary")
+    kind = np.float32 if isinstance(rows.schema["e"].dataType, ArrayType) and isinstance(rows.schema["e"].dataType.elementType, FloatType) else np.float64
+    keyed = packed(rows.where("vec_id is not null"), length, "vec_id long, e binary", kind is np.float32)
     keyed = keyed.select("vec_id", "e", F.xxhash64("e").alias("h1"), F.xxhash64(F.lit(7), "e").alias("h2"))
     keyed = materialise(keyed, spark)
     classes = keyed.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"), F.first("e").alias("e"))
     classes = materialise(classes, spark)
-    some = classes.orderBy("h1", "h2").limit(sample).select("e").toArrow()
     n = classes.count()
+    low = classes.where(F.col("h1") < int(-(1 << 63) + (1 << 64) * 2 * sample / n)) if n > 2 * sample else classes  # the sample is among these
+    some = low.orderBy("h1", "h2").limit(sample).select("e").toArrow()
     reach = np.sqrt(max(2 - 2 * threshold, 0)) + 1e-6 if reach is None else reach  # more than rounding can move a row
     if n:
-        x = unpacked(some["e"], length)
+        x = unpacked(some["e"], length, kind).astype(np.float64)
         centroids = spherical_kmeans(x / np.linalg.norm(x, axis=1)[:, None], int(np.clip(n // per_cell, 1, most_cells)))
     else:
-        centroids = np.zeros((0, length))
-    cells = materialise(classes.select("rep", "copies", "e").mapInArrow(partial(_assign, centroids=centroids, reach=reach), "cell int, home boolean, rep long, copies long, e binary"), spark)
-    sizes = cells.groupBy("cell").agg(F.ceil(F.count_if("home") / HOME_ROWS).cast("int").alias("ps"), F.ceil(F.count("*") / ALL_ROWS).cast("int").alias("qs")).withColumnRenamed("cell", "cell_")
-    known = cells.join(sizes, F.col("cell") == F.col("cell_")).where("ps > 0")
-    block = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one = known.where("home").select("cell", block("ps").alias("p"), every("qs").alias("q"), F.lit(True).alias("first"), "home", "rep", "copies", "e")
-    other = known.select("cell", every("ps").alias("p"), block("qs").alias("q"), F.lit(False).alias("first"), "home", "rep", "copies", "e")
-    dealt = one.unionByName(other).repartition("cell", "p", "q").sortWithinPartitions("cell", "p", "q")
-    found = materialise(dealt.mapInArrow(partial(_compare, length=length, threshold=threshold), "a long, b long, links long"), spark)
+        centroids = np.zeros((1, length))
+    k = len(centroids)
+    fields = "h1 long, h2 long, rep long, copies long, e binary"
+    cells = materialise(classes.mapInArrow(partial(_assign, centroids=centroids, reach=reach, kind=kind), f"{fields}, home int, cells binary"), spark)
+    sizes = cells.select("home", "cells").mapInArrow(partial(_counts, k=k), "cell long, home long, rows long").groupBy("cell").agg(F.sum("home").alias("home"), F.sum("rows").alias("rows")).toArrow()
+    home, met = np.zeros(k, np.int64), np.zeros(k, np.int64)
+    home[sizes["cell"].to_numpy()], met[sizes["cell"].to_numpy()] = sizes["home"].to_numpy(), sizes["rows"].to_numpy()
+    most = max(1, min(HOME_ROWS, BLOCK_BYTES // (length * np.dtype(kind).itemsize), max(2 * per_cell, n // 8)))
+    first, number = blocks_of_cells(centroids, home, most)
+    most_met = np.zeros(int((first + number).max(initial=0)) or 1, np.int64)  # at most so many rows come to a block
+    for c in np.flatnonzero(number):
+        most_met[first[c] : first[c] + number[c]] += met[c]
+    parts = np.maximum(-(-np.minimum(most_met, n) // max(1, ALL_ROWS * most // HOME_ROWS)), 1)
+    dealt = cells.mapInArrow(partial(_deal, first=first, number=number, parts=parts), "place int, visitor int, rep long, copies long, e binary, home int, cells binary")
+    dealt = dealt.repartition("place").sortWithinPartitions("place", "visitor")
+    found = materialise(dealt.mapInArrow(partial(_compare, length=length, threshold=threshold, k=k, kind=kind), "a long, b long, links long"), spark)
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
     groups = connected_components(found.select("a", "b"), spark)
     by_class = classes.join(links, F.col("rep") == F.col("a"), "left").join(groups, F.col("rep") == F.col("id"), "left")

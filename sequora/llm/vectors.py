@@ -18,7 +18,7 @@ def common_length(df: DataFrame, column: str) -> int:
     return row["n"] if row else 1
 
 
-def _pack(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], length: int, narrow: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         e = batch.column("e")
         keep = pa.compute.fill_null(pa.compute.equal(pa.compute.list_value_length(e), length), False)
@@ -30,15 +30,27 @@ def _pack(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
             ok &= ~np.asarray(flat.is_null()).reshape(-1, length).any(1)
         x = x[ok] + 0.0  # -0.0 and 0.0 are one
         rest = batch.filter(pa.array(ok)).drop_columns(["e"])
+        if narrow:
+            x = x.astype(np.float32)
         yield rest.append_column("e", pa.array([r.tobytes() for r in x], pa.binary()))
 
 
-def packed(df: DataFrame, length: int, schema: str) -> DataFrame:
+def packed(df: DataFrame, length: int, schema: str, narrow: bool = False) -> DataFrame:
     """df, whose vector column is e, with the usable vectors of this length as bytes of doubles; other rows go.
 
-    `schema`: the other columns and then e binary."""
-    return df.mapInArrow(partial(_pack, length=length), schema)
+    `schema`: the other columns and then e binary.  `narrow`: as bytes of single precision, for vectors that are stored so."""
+    return df.mapInArrow(partial(_pack, length=length, narrow=narrow), schema)
 
 
-def unpacked(column: pa.ChunkedArray | pa.Array, length: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, length)
+def unpacked(column: pa.ChunkedArray | pa.Array, length: int, kind: type = np.float64) -> np.ndarray:
+    return flat_bytes(column).view(kind).reshape(-1, length)
+
+
+def flat_bytes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The bytes of all values of a binary column without nulls, in one copy."""
+    parts = []
+    for a in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if len(a):
+            ends = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1]
+            parts.append(np.frombuffer(a.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]])
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint8)

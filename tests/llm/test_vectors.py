@@ -1,6 +1,7 @@
 """The vector operators against brute force, odd rows and recall."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,37 @@ def test_blocks_of_a_cell(spark, table, monkeypatch):
     assert all((r.n_links, r.component_id) == (links[r.vec_id], label[r.vec_id]) for r in got)
 
 
+def test_many_cells_in_a_block_and_parts(spark, table, monkeypatch):
+    """Cells share blocks, rows visit several cells of a block, blocks have parts: each pair counts once."""
+    monkeypatch.setattr(embedding_dedup, "ALL_ROWS", 100_000)
+    links, label = brute_links(vectors())
+    got = embedding_dedup.near_duplicates(table, spark, per_cell=10).where("vec_id < 1000").collect()
+    assert all((r.n_links, r.component_id) == (links[r.vec_id], label[r.vec_id]) for r in got)
+
+
+def test_batches_that_leave_a_worker_are_bounded(monkeypatch):
+    """However many cells a row visits: before, a batch came out once for each of them, all in one batch."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((10_000, 64)).astype(np.float32)
+    centroids = spherical_kmeans(x[:3000] / np.linalg.norm(x[:3000], axis=1)[:, None].astype(float), 200, rounds=2)
+    ids = pa.array(np.arange(len(x)))
+    hashes = pa.array(rng.integers(-(1 << 62), 1 << 62, len(x)))
+    batch = pa.RecordBatch.from_arrays([hashes, hashes, ids, ids, pa.array([v.tobytes() for v in x])], ["h1", "h2", "rep", "copies", "e"])
+    near = embedding_dedup._assign(iter([batch]), centroids, 0.3162, np.float32)
+    near = pa.Table.from_batches(near).combine_chunks().to_batches()
+    assert len(near) == 1 and near[0].nbytes < 2 * batch.nbytes
+    home = np.bincount(near[0].column("home").to_numpy(), minlength=200)
+    first, number = embedding_dedup.blocks_of_cells(centroids, home, 500)
+    n = int((first + number).max())
+    held = np.bincount(first[home > 0], weights=home[home > 0], minlength=n)
+    assert held.sum() == len(x) and (number[home > 0] == 1).all() and held.max() <= 500
+    out = list(embedding_dedup._deal(iter(near), first, number, np.full(n, 3)))
+    assert max(b.nbytes for b in out) < 1.1 * embedding_dedup.OUT_BYTES
+    rows = pa.Table.from_batches(out)
+    assert rows.num_rows == len({(p, v, i) for p, v, i in zip(*(rows[c].to_pylist() for c in ("place", "visitor", "rep")), strict=True)})
+    assert 3 * len(x) + len(x) < rows.num_rows <= 3 * len(x) + n * len(x)
+
+
 def test_recall_of_links_at_the_default_reach(spark):
     rng = np.random.default_rng(8)
     x = rng.standard_normal((3000, 64))
